@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from prosa.llm import quality_classifier, quality_rules
+from pyspark.sql import functions as F
+
+from prosa.llm import packing, quality_classifier, quality_rules, simhash
 from prosa.llm.common import table
 
 
@@ -14,9 +16,20 @@ def op2_quality_classifier(spark, sf_dir):
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), packing.PackingOptions(packing.public_vocabulary("byte_bpe_50k.json")))
+
+
+def op6_simhash(spark, sf_dir):
+    named = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_simhash": op6_simhash,
 }
 #: None of these can be expressed in SQL; tests/llm holds each against a brute-force version.
 ORACLE_SQL: dict[str, str] = {}
