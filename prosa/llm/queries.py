@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prosa.llm import packing, quality_classifier, quality_rules, simhash
+from prosa.llm import chat_format, html_extract, packing, quality_classifier, quality_rules, sentence_pieces, simhash, token_counts, vector_search
 from prosa.llm.common import table
 
 
@@ -25,11 +25,42 @@ def op6_simhash(spark, sf_dir):
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_vector_search(spark, sf_dir):
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+#: A fixed conversation whose texts hold the control strings of the template.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op8_chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(rows.unionByName(own))
+
+
+def op9_sentence_pieces(spark, sf_dir):
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), packing.public_vocabulary("piece_bpe_32k.model"))
+
+
+def op10_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), packing.public_vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_vector_search": op5_vector_search,
     "op6_simhash": op6_simhash,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_sentence_pieces": op9_sentence_pieces,
+    "op10_token_counts": op10_token_counts,
 }
 #: None of these can be expressed in SQL; tests/llm holds each against a brute-force version.
 ORACLE_SQL: dict[str, str] = {}
