@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prosa.llm import chat_format, html_extract, packing, quality_classifier, quality_rules, sentence_pieces, simhash, token_counts, vector_search
+from prosa.llm import chat_format, html_extract, katz, packing, quality_classifier, quality_rules, sentence_pieces, simhash, token_counts, vector_search
 from prosa.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op6_simhash(spark, sf_dir):
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_katz_scores(spark, sf_dir):
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_vector_search(spark, sf_dir):
     return vector_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_katz_scores": op4_katz_scores,
     "op5_vector_search": op5_vector_search,
     "op6_simhash": op6_simhash,
     "op7_html_extraction": op7_html_extraction,
