@@ -11,7 +11,7 @@ Within a variant's group no pairs are enumerated. Members with the same left-out
 are chained; chains whose blocks differ in one bit are joined (each block looks up its 21 or 22 neighbours); members that are
 the unchanged variant itself are compared to each other up to 3 bits. Every link is found by one of these under one of the three blocks.
 
-Components come from alternating large-star and small-star steps, each staged, on distinct fingerprints with a link only.
+A task keeps a forest of what it has linked and sends a link per fingerprint, not per meeting. Components come from alternating large-star and small-star steps, each staged, on distinct fingerprints with a link only.
 
 Defined cases: null and wordless texts have fingerprint 0 and link to each other; repeated rows each get a row; a null doc_id
 takes part but never names a component unless nothing else does (then component_id is null); an empty table gives an empty
@@ -128,36 +128,68 @@ def links(distinct: DataFrame, rows: int) -> DataFrame:
     sent = distinct.select(F.explode(variants(F.col("fp"))).alias("variant"), "fp").repartition(parts, "variant").sortWithinPartitions("variant")
 
     def meet(batches):
-        kept_v, kept_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        kept_v, kept_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        forest: dict[int, int] = {}
         for batch in batches:
             v = np.concatenate([kept_v, batch.column(0).to_numpy()])
-            f = np.concatenate([kept_f, batch.column(1).to_numpy()])
+            f = np.concatenate([kept_f, batch.column(1).to_numpy().view(np.uint64)])
             starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
             end = starts[-1] if len(starts) else 0  # the last group may go on in the next batch
             kept_v, kept_f = v[end:], f[end:]
-            yield from pairs(v[:end], f[:end], starts)
-        yield from pairs(kept_v, kept_f, np.zeros(min(1, len(kept_v)), np.int64))
-
-    def pairs(v, f, starts):
-        starts = starts[starts < len(v)]
-        sizes = np.diff(np.append(starts, len(v)))
-        twos = starts[sizes == 2]
-        x = f[twos] ^ f[twos + 1]
-        near = np.bitwise_count(x.view(np.uint64)) <= RADIUS
-        a, b = [f[twos][near]], [f[twos + 1][near]]
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            if found := links_of_group(int(v[s]), np.unique(f[s : s + n]).view(np.uint64)):
-                both = np.array(found, dtype=np.uint64).view(np.int64)
-                a.append(both[:, 0])
-                b.append(both[:, 1])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+            unite(forest, links_of_groups(v[:end], f[:end], starts[:-1]))
+        unite(forest, links_of_groups(kept_v, kept_f, np.zeros(min(1, len(kept_v)), np.int64)))
+        ends = np.array([(root_of(forest, x), x) for x in forest], np.uint64).reshape(-1, 2).view(np.int64)
+        ends = ends[ends[:, 0] != ends[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], names=["a", "b"])
 
     return sent.mapInArrow(meet, "a long, b long").distinct()
 
 
+def links_of_groups(v: np.ndarray, f: np.ndarray, starts: np.ndarray):
+    """Links of all groups of equal variants. A pair that is alone in its groups is told in one of them."""
+    sizes = np.diff(np.append(starts, len(v)))
+    twos = starts[sizes == 2]
+    a, b = f[twos], f[twos + 1]
+    near = np.bitwise_count(a ^ b) <= RADIUS
+    a, b, at = a[near], b[near], v[twos][near]
+    own = at == meeting(a, b)
+    yield from zip(a[own].tolist(), b[own].tolist())
+    for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        yield from links_of_group(int(v[s]), np.unique(f[s : s + n]))
+
+
+def meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One variant that both fingerprints of each pair have and under which links_of_group connects them."""
+    out = np.full(len(a), -1, np.int64)
+    least = np.minimum(a, b)
+    bits = np.bitwise_count(a ^ b)
+    for j, (at, size) in enumerate(BLOCKS):
+        differ = rest_of(a ^ b, j)
+        outside = np.bitwise_count(differ)
+        inside = bits - outside
+        fits = (out < 0) & ((inside <= 1) & (outside <= 2) | (inside == RADIUS))
+        rest = rest_of(least, j) ^ np.where(outside == 2, differ & (~differ + np.uint64(1)), np.uint64(0))
+        out = np.where(fits, rest.view(np.int64) | (j << 60), out)
+    return out
+
+
+def root_of(forest: dict[int, int], x: int) -> int:
+    """The smallest member known of the component of x."""
+    root = x
+    while forest[root] != root:
+        root = forest[root]
+    while forest[x] != root:
+        forest[x], x = root, forest[x]
+    return root
+
+
+def unite(forest: dict[int, int], pairs) -> None:
+    for a, b in pairs:
+        x, y = root_of(forest, a) if a in forest else forest.setdefault(a, a), root_of(forest, b) if b in forest else forest.setdefault(b, b)
+        if x != y:
+            forest[max(x, y)] = min(x, y)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) of every node with a link. Alternating large-star and small-star steps."""
 
