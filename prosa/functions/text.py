@@ -88,3 +88,13 @@ def punctuation_emphasis(raw: Column | str) -> Column:
 def nth(tokens: Column | str, position: Column) -> Column:
     """The token at a position from 0; null outside."""
     return F.get(col(tokens), position)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded half up by arithmetic alone, so that every engine gets the same digits at ties."""
+    return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
+def mean_of_digits(x: Column | str, digits: int) -> Column:
+    """The mean of values with so many digits, summed as integers: exact in any order of rows."""
+    return F.sum(F.round(col(x) * 10**digits).cast("long")) / (F.count("*") * float(10**digits))

@@ -92,7 +92,9 @@ POLARITY = f""", per as (select doc_id, sent_id, sum(v) as x, sum(case when v >
       pol as (select doc_id, sent_id, case when n > 0 then round(m / (p + m + n - told), 3) else 0 end as neg, case when n > 0 then round((n - told) / (p + m + n - told), 3) else 0 end as neu,
             case when n > 0 then round(p / (p + m + n - told), 3) else 0 end as pos, case when n > 0 then round(c / sqrt(c * c + 15), 4) else 0 end as compound from b)"""
 LABEL = "case when abs(compound) < 0.1 then 'neutral' when compound > 0.8 then 'extremely positive' when compound > 0 then 'positive' when compound < -0.8 then 'extremely negative' when compound < 0 then 'negative' else '' end"
-MEANS = "select doc_id, round(avg(compound), 6) as compound, round(avg(pos) * 100, 4) as positive, round(avg(neg) * 100, 4) as negative, round(avg(neu) * 100, 4) as neutral from pol group by 1"
+MEAN = lambda x, digits: f"sum(round({x} * {10**digits})::bigint)::double / (count(*) * {10**digits}::double)"
+ROUNDED = lambda x, digits: f"floor(({x}) * {10**digits}::double + 0.5::double) / {10**digits}::double"
+MEANS = f"select doc_id, {ROUNDED(MEAN('compound', 4), 6)} as compound, " + ", ".join(f"{ROUNDED(MEAN(c, 3) + ' * 100', 4)} as {name}" for c, name in (("pos", "positive"), ("neg", "negative"), ("neu", "neutral"))) + " from pol group by 1"
 
 CONTENT = f"""c as (select * from (select doc_id, sent_id, raw, list_filter(list_transform(regexp_extract_all(raw, '{WORD}'), lambda x: lower(x)), lambda x: len(x) >= 2 and x not in {listed(ALL_STOPWORDS)}) as tokens from s) where len(tokens) > 2),
       tf as (select doc_id, sent_id, term, count(*) as tf from (select doc_id, sent_id, unnest(tokens) as term from c) group by 1, 2, 3)"""
@@ -156,7 +158,7 @@ ORACLE_SQL = {
     "sentence_polarity": sentiment_sql(texts(RULE_TEXTS), POLARITY + " select * from pol"),
     "document_sentiment": sentiment_sql(texts(RULE_TEXTS), POLARITY + " " + MEANS),
     "sentiment_labels": sentiment_sql(texts(RULE_TEXTS), POLARITY + f" select {LABEL} as label, count(*) as n_sentences from pol group by 1"),
-    "conversation_sentiment": sentiment_sql("(select conv_id * 1000 + turn as doc_id, text from conversations)", POLARITY + f", dm as ({MEANS}) select c.conv_id, c.role, count(*) as n_turns, round(avg(compound), 4) as compound from conversations c join dm on dm.doc_id = c.conv_id * 1000 + c.turn group by 1, 2"),
+    "conversation_sentiment": sentiment_sql("(select conv_id * 1000 + turn as doc_id, text from conversations)", POLARITY + f", dm as ({MEANS}) select c.conv_id, c.role, count(*) as n_turns, {ROUNDED(MEAN('compound', 6), 4)} as compound from conversations c join dm on dm.doc_id = c.conv_id * 1000 + c.turn group by 1, 2"),
     "term_frequency": f"with {sents()}, {CONTENT} select * from tf",
     "collection_idf": f"with {sents()}, {WEIGHTED} select doc_id, term, round(idf, 6) as idf from g",
     "classic_idf": f"with {sents()}, {WEIGHTED} select doc_id, term, round(cidf, 6) as idf from g",

@@ -201,7 +201,7 @@ def descriptors(spark, folder):
 def conversation_sentiment(spark, folder):
     turns = table(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", "conv_id", "role")
     scored = sentiment.document_sentiment(sentiment.sentence_words(turns.select("doc_id", "text")))
-    return turns.join(scored, "doc_id").groupBy("conv_id", "role").agg(F.count("*").alias("n_turns"), F.round(F.avg("compound"), 4).alias("compound"))
+    return turns.join(scored, "doc_id").groupBy("conv_id", "role").agg(F.count("*").alias("n_turns"), T.rounded(T.mean_of_digits("compound", 6), 4).alias("compound"))
 
 
 def content(spark, folder):
