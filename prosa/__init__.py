@@ -1 +1,10 @@
-"""Text analytics over DataFrames of documents."""
+"""Text analytics over DataFrames of documents.
+
+Functions that run on executors are pickled by value, so workers need no copy of this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from prosa.functions import text as T, words as W
 
@@ -39,7 +40,7 @@ def batches(docs: DataFrame, size: int = 200) -> DataFrame:
     return cut.select("doc_id", "part_id", F.size(own).alias("n_sentences"), F.array_join(own, " ").alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(texts: pd.Series) -> pd.Series:
     """Character references decoded once, by the full HTML 5 table; Spark has no function for it."""
     import html
