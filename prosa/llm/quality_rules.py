@@ -33,7 +33,7 @@ class RulesOptions:
     seed: int = 1
     min_words: int = 50
     max_repeat_percent: int = 50
-    clean_weight: float = 5.0
+    clean_weight: float = 20.0
 
 
 def mean_path(n: float) -> float:
