@@ -113,8 +113,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, cached_words: int = 500_000)
                 except KeyError:
                     if len(known) > cached_words:
                         known.clear()
-                    for w in set(words) - known.keys():
-                        known[w] = automaton.count(b" " + w)
+                    for w in set(words):
+                        if w not in known:
+                            known[w] = automaton.count(b" " + w)
                     counts = list(map(known.__getitem__, words))
                 missing = counts.count(0)
                 words_of.append(len(words))
