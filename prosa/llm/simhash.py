@@ -66,11 +66,12 @@ def variants(fp):
     """A column with all variants: the number of the left-out block in the top bits, then the remaining bits with one or none changed."""
     low = F.lit((1 << 21) - 1)
     left = [F.shiftrightunsigned(fp, 21), fp.bitwiseAND(low).bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, 42), 21)), fp.bitwiseAND(F.lit((1 << 42) - 1))]
-    balls = []
-    for j, (rest, (_, size)) in enumerate(zip(left, BLOCKS)):
-        rest = rest.bitwiseOR(F.lit(j << 60))
-        balls += [F.array(rest), F.transform(F.sequence(F.lit(0), F.lit(63 - size)), lambda i, rest=rest: rest.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))]
-    return F.concat(*balls)
+
+    def ball(rest, bits: int):
+        changed = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: rest.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+        return F.concat(F.array(rest), changed)
+
+    return F.concat(*(ball(rest.bitwiseOR(F.lit(j << 60)), 64 - size) for j, (rest, (_, size)) in enumerate(zip(left, BLOCKS))))
 
 
 def rest_of(fps: np.ndarray, j: int) -> np.ndarray:
@@ -123,7 +124,7 @@ def near_blocks(block: np.ndarray, fps: np.ndarray, size: int) -> list[tuple[int
 
 
 def links(distinct: DataFrame, rows: int) -> DataFrame:
-    """Pairs (a, b), a < b, of fingerprints that connect all fingerprints within the radius. distinct: fp."""
+    """Pairs (a, b) of fingerprints that connect all fingerprints within the radius. distinct: fp."""
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * 131 // 4_000_000)
     sent = distinct.select(F.explode(variants(F.col("fp"))).alias("variant"), "fp").repartition(parts, "variant").sortWithinPartitions("variant")
 
@@ -138,11 +139,23 @@ def links(distinct: DataFrame, rows: int) -> DataFrame:
             kept_v, kept_f = v[end:], f[end:]
             unite(forest, links_of_groups(v[:end], f[:end], starts[:-1]))
         unite(forest, links_of_groups(kept_v, kept_f, np.zeros(min(1, len(kept_v)), np.int64)))
-        ends = np.array([(root_of(forest, x), x) for x in forest], np.uint64).reshape(-1, 2).view(np.int64)
-        ends = ends[ends[:, 0] != ends[:, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], names=["a", "b"])
+        yield stars_of(forest)
+
+    def join(batches):
+        forest: dict[int, int] = {}
+        for batch in batches:
+            unite(forest, zip(*(batch.column(i).to_numpy().view(np.uint64).tolist() for i in range(2))))
+        yield stars_of(forest)
+
+    # tasks know a fingerprint under different roots: where its links meet, the roots are linked once and the fingerprint keeps one link
+    return sent.mapInArrow(meet, "a long, b long").repartition("b").mapInArrow(join, "a long, b long")
+
 
-    return sent.mapInArrow(meet, "a long, b long").distinct()
+def stars_of(forest: dict[int, int]) -> pa.RecordBatch:
+    """A link from each member to the root of its component."""
+    ends = np.array([(root_of(forest, x), x) for x in forest], np.uint64).reshape(-1, 2)
+    ends = ends[ends[:, 0] != ends[:, 1]].view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
 
 
 def links_of_groups(v: np.ndarray, f: np.ndarray, starts: np.ndarray):
@@ -199,24 +212,29 @@ def components(edges: DataFrame) -> DataFrame:
     def measure(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    now = stage(edges.select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
+    both_ways = lambda df: df.union(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    every = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    # a node whose only link leads to a smaller one follows it: it needs no part in the steps
+    leaves = stage(both_ways(every).groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v")).where("n = 1 and v < u").select("u", "v"), "leaves")
+    now = stage(every.join(leaves.select("u"), "u", "left_anti"), "links")
     state = measure(now)
     while state[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = to_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = to_min(both_ways(now)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = to_min(large)
         now = stage(small.select(F.col("u"), F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "links")
         before, state = state, measure(now)
         if before == state:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    inner = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    outer = leaves.join(inner, leaves.v == inner.node, "left").select(F.col("u").alias("node"), F.coalesce("root", "v").alias("root"))
+    return inner.unionByName(outer)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable), a row per document."""
     marked = stage(fingerprints(docs), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct-fingerprints")
-    stars = components(links(distinct.select("fp"), distinct.count()))
+    stars = stage(components(links(distinct.select("fp"), distinct.count())), "stars")
     free_shuffles(docs.sparkSession)
     linked = distinct.join(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), F.col("fp") == F.col("node")).select("fp", "root", "doc")
     least = linked.groupBy("root").agg(F.min("doc").alias("least"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from prosa.llm import simhash
 
@@ -34,6 +35,39 @@ def test_fingerprint_is_the_bit_majority_of_shingle_hashes():
         assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
 
 
+def variants_of(f):
+    out = []
+    for j, (_, size) in enumerate(simhash.BLOCKS):
+        rest = int(simhash.rest_of(np.array([f], np.uint64), j)[0])
+        out += [v | j << 60 for v in (rest, *(rest ^ 1 << i for i in range(64 - size)))]
+    return out
+
+
+def test_variants_in_the_plan_are_those_of_the_definition(spark):
+    prints = [0, 1, (1 << 64) - 1, 0x8000000000000001, *(random.Random(2).getrandbits(64) for _ in range(50))]
+    signed = [int(np.array([f], np.uint64).view(np.int64)[0]) for f in prints]
+    df = spark.createDataFrame([(s,) for s in signed], "fp long").select(simhash.variants(F.col("fp")).alias("v"))
+    assert [sorted(r.v) for r in df.collect()] == [sorted(variants_of(f)) for f in prints]
+
+
+def test_table_of_clusters(spark):
+    """The whole operator's links on fingerprints around random centres."""
+    rng = random.Random(9)
+    prints = set()
+    for _ in range(40):
+        centre = rng.getrandbits(64)
+        for _ in range(rng.choice((1, 3, 30))):
+            prints.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.choice((0, 1, 2, 3, 4, 5)))))
+    prints = sorted(prints)
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    distinct = spark.createDataFrame([(s,) for s in signed], "fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(distinct, len(signed))).collect()}
+    label = {}
+    for s, c in zip(signed, brute_components(list(zip(prints, prints)))):
+        label.setdefault(c, set()).add(roots.get(s, s))
+    assert all(len(x) == 1 for x in label.values()) and len(set().union(*label.values())) == len(label)
+
+
 def test_every_pair_within_the_radius_is_linked():
     """Clusters around centres, differing by 0 to 4 bits anywhere, in one block or over blocks, and random walks."""
     rng = random.Random(5)
@@ -48,10 +82,8 @@ def test_every_pair_within_the_radius_is_linked():
         prints = np.unique(np.array(prints, np.uint64))
         sent = {}
         for f in prints.tolist():
-            for j, (_, size) in enumerate(simhash.BLOCKS):
-                rest = int(simhash.rest_of(np.array([f], np.uint64), j)[0])
-                for v in (rest, *(rest ^ 1 << i for i in range(64 - size))):
-                    sent.setdefault(v | j << 60, []).append(f)
+            for v in variants_of(f):
+                sent.setdefault(v, []).append(f)
         keys = sorted(sent)
         v = np.array([k for k in keys for _ in sent[k]], np.int64)
         f = np.array([x for k in keys for x in sent[k]], np.uint64)
