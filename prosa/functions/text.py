@@ -44,7 +44,7 @@ def strip_tags(html: Column | str) -> Column:
 
 def squeeze_once(word: Column | str) -> Column:
     """Without the second letter of the last doubled pair: coooool -> cooool."""
-    return F.regexp_replace(col(word), r"(\w*)(\w)\2(\w*)", "$1$2$3")
+    return F.regexp_replace(col(word), r"([\p{L}\p{N}_]*)([\p{L}\p{N}_])\2([\p{L}\p{N}_]*)", "$1$2$3")
 
 
 def left_clean(token: Column | str) -> Column:

@@ -136,6 +136,18 @@ ORACLE_SQL = {
     "vocab_semi": f"{DOCS} select doc_id, count(*) as n_tokens from t where lower(token) in (select term from {VOCABULARY} where df >= 20) group by 1",
     "min_tokens_sentences": f"with {sents()}, {CONTENT} select doc_id, sent_id, len(tokens)::bigint as n_tokens, array_to_string(tokens, ' ') as tokens from c",
     "case_flags": f"{RULED} select doc_id, sum(case when {UPPER} then 1 else 0 end)::bigint as upper, sum(case when lower(token) = token then 1 else 0 end)::bigint as lower, count(*) as n_tokens from t group by 1",
+    "case_handling": f"""{RULED}, u as (select token, lower(token) as low, upper(token) = token and lower(token) <> token as up, upper(token[1]) || lower(token[2:]) = token and len(token) > 1 and lower(token) <> token as title from t),
+      k as (select *, case when regexp_matches(low, '^[0-9]') or low in {listed(W.NUMBER_WORDS)} then 'NUM' when low in {listed(W.STOPWORDS['en'])} then 'DET' when low like '%ly' then 'ADV' when regexp_matches(low, '(ous|ful|ive|able|ible|al|ic|less|ish)$') then 'ADJ'
+            when regexp_matches(low, '(ing|ed|ize|ise|ify)$') then 'VERB' when title then 'PROPN' else 'NOUN' end as class,
+            case when regexp_matches(low, '[^aeiou]ies$') then regexp_replace(low, 'ies$', 'y') when regexp_matches(low, '(ss|sh|ch|x|z)es$') then regexp_replace(low, 'es$', '') when regexp_matches(low, '[^s]s$') and len(low) > 3 then regexp_replace(low, 's$', '')
+            when regexp_matches(low, '[aeiou].*ing$') and len(low) > 5 then regexp_replace(low, 'ing$', '') when regexp_matches(low, '[aeiou].*ed$') and len(low) > 4 then regexp_replace(low, 'ed$', '') else low end as base from u)
+      select class, count(*) as n_tokens, count(distinct case when up then upper(base) when title then upper(base[1]) || lower(base[2:]) else base end) as n_forms from k group by 1""",
+    "repeat_squeeze": f"""{DOCS}, u as (select distinct lower(token) as term from t), d as (select term, list_max(list_filter(range(1, len(term)), lambda i: term[i] = term[i + 1] and term[i] not in ('-', '''', '’'))) as at from u)
+      select term, substr(term, 1, at) || substr(term, at + 2) as squeezed from d where at is not null""",
+    "legacy_normalize": f"""with {sents(texts(LEGACY_TEXTS))}, k as (select doc_id, sent_id, list_filter(string_split(raw, ' '), lambda x: (regexp_replace(x, '{PUNCT}', '', 'g') = '' and x <> '') or (regexp_replace(x, '{PUNCT}', '', 'g') <> '' and len(x) >= 2)) as l from s)
+      select doc_id, sent_id, array_to_string(list_filter(list_transform(l, lambda x: case when regexp_replace(x, '{PUNCT}', '', 'g') = '' then x
+        when len(regexp_extract(regexp_replace(x, '^[^\\p{{L}}\\p{{N}}_]+', ''), '^[\\p{{L}}\\p{{N}}_''’-]+([?!]+)$', 1)) >= 4 then regexp_replace(x, '^[^\\p{{L}}\\p{{N}}_]+', '')
+        else regexp_extract(regexp_replace(x, '^[^\\p{{L}}\\p{{N}}_]+', ''), '^(.*[\\p{{L}}\\p{{N}}_])', 1) end), lambda x: x <> ''), ' ') as tokens from k""",
     "levenshtein_suggest": f"""{DOCS}, known as (select term from {VOCABULARY} where df >= 50),
       asked as (select distinct lower(unnest(regexp_extract_all(text, '{WORD}'))) as term from benchmark), un as (select term from asked where term not in (select term from known)),
       met as (select un.term, known.term as word, levenshtein({ASCII('un.term')}, {ASCII('known.term')})::int as edits from un, known where abs(len(un.term) - len(known.term)) <= 2 and levenshtein({ASCII('un.term')}, {ASCII('known.term')}) <= 2)
