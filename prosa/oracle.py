@@ -142,8 +142,8 @@ ORACLE_SQL = {
             case when regexp_matches(low, '[^aeiou]ies$') then regexp_replace(low, 'ies$', 'y') when regexp_matches(low, '(ss|sh|ch|x|z)es$') then regexp_replace(low, 'es$', '') when regexp_matches(low, '[^s]s$') and len(low) > 3 then regexp_replace(low, 's$', '')
             when regexp_matches(low, '[aeiou].*ing$') and len(low) > 5 then regexp_replace(low, 'ing$', '') when regexp_matches(low, '[aeiou].*ed$') and len(low) > 4 then regexp_replace(low, 'ed$', '') else low end as base from u)
       select class, count(*) as n_tokens, count(distinct case when up then upper(base) when title then upper(base[1]) || lower(base[2:]) else base end) as n_forms from k group by 1""",
-    "repeat_squeeze": f"""{DOCS}, u as (select distinct lower(token) as term from t), d as (select term, list_max(list_filter(range(1, len(term)), lambda i: term[i] = term[i + 1] and term[i] not in ('-', '''', '’'))) as at from u)
-      select term, substr(term, 1, at) || substr(term, at + 2) as squeezed from d where at is not null""",
+    "repeat_squeeze": f"""{DOCS}, u as (select distinct lower(token) as term from t), d as (select term, list_max(list_filter(range(1, len(term)), lambda i: term[i] = term[i + 1] and term[i] not in ('-', '''', '’'))) as spot from u)
+      select term, substr(term, 1, spot) || substr(term, spot + 2) as squeezed from d where spot is not null""",
     "legacy_normalize": f"""with {sents(texts(LEGACY_TEXTS))}, k as (select doc_id, sent_id, list_filter(string_split(raw, ' '), lambda x: (regexp_replace(x, '{PUNCT}', '', 'g') = '' and x <> '') or (regexp_replace(x, '{PUNCT}', '', 'g') <> '' and len(x) >= 2)) as l from s)
       select doc_id, sent_id, array_to_string(list_filter(list_transform(l, lambda x: case when regexp_replace(x, '{PUNCT}', '', 'g') = '' then x
         when len(regexp_extract(regexp_replace(x, '^[^\\p{{L}}\\p{{N}}_]+', ''), '^[\\p{{L}}\\p{{N}}_''’-]+([?!]+)$', 1)) >= 4 then regexp_replace(x, '^[^\\p{{L}}\\p{{N}}_]+', '')
