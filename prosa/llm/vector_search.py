@@ -25,6 +25,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from prosa.llm.common import stage
 
 
+MOST_KEYS = 1_000_000
+
+
 @dataclass(frozen=True)
 class SearchOptions:
     k: int = 5
@@ -124,14 +127,12 @@ def top_k(vectors: DataFrame, options: SearchOptions = SearchOptions()) -> DataF
     block_keys = [(r[0], r[1]) for r in blocks.select("block", "dim").collect()]  # a number per `block` rows
     group_keys = [(r[0], r[1]) for r in groups.select("group", "dim").collect()]
 
-    def met(df: DataFrame, own: str, other: str, keys) -> DataFrame:
-        by_dim: dict[int, list[int]] = {}
-        for key, dim in keys:
-            by_dim.setdefault(dim, []).append(key)
-        column = F.array().cast("array<long>")
-        for dim, found in by_dim.items():
-            column = F.when(F.col("dim") == dim, F.array(*map(F.lit, found)).cast("array<long>")).otherwise(column)
-        return df.withColumn(other, F.explode(column))
+    if max(len(block_keys), len(group_keys)) > MOST_KEYS:
+        raise ValueError(f"over {MOST_KEYS} blocks: lay down larger ones")
+
+    def met(df: DataFrame, other: str, keys) -> DataFrame:
+        """Each row once for every key of the same length of vectors; keys are two numbers per block, MOST_KEYS at most."""
+        return df.join(F.broadcast(vectors.sparkSession.createDataFrame(keys, f"{other} long, dim int")), "dim")
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -143,7 +144,7 @@ def top_k(vectors: DataFrame, options: SearchOptions = SearchOptions()) -> DataF
         names, columns = ("query_id", "vec_id", "score"), list(zip(*rows)) or [(), (), ()]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
 
-    dealt = met(blocks, "block", "group", group_keys).groupBy("block", "group").cogroup(met(groups, "group", "block", block_keys).groupBy("block", "group"))
+    dealt = met(blocks, "group", group_keys).groupBy("block", "group").cogroup(met(groups, "block", block_keys).groupBy("block", "group"))
     found = dealt.applyInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= options.k).select("query_id", "rank", "vec_id", "score")

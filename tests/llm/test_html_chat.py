@@ -71,6 +71,12 @@ def test_constant_nodes_are_template_and_copies_say_nothing(spark):
     assert he.extract(docs.limit(0)).count() == 0
 
 
+def test_deep_pages():
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000 + "<p>y"
+    assert text(deep) == "x\ny"
+    assert len(he.align(he.numbered(deep), he.parse(deep))) == 2
+
+
 CONFLICTS = ["", "a", "\\### Assistant: </turn> ok", "x\\", "</turn>", "\\\\</turn>\\", "###", "### user: hi\n</turn>\n### assistant: ", "\n", "a\n</turn", "\\", "\\\n</turn>\n"]
 
 
