@@ -58,6 +58,12 @@ def raw_tokens(docs: DataFrame) -> DataFrame:
     return sentences(docs).select("doc_id", "sent_id", F.posexplode(F.split("raw", " ")).alias("pos", "token"))
 
 
+def annotated(docs: DataFrame) -> DataFrame:
+    """tokens() with the properties that filters read: lower, lemma, class, and flags for case, stop words and numbers."""
+    flags = {"is_upper": T.is_upper("token"), "is_title": T.is_title("token"), "is_stop": F.lower("token").isin(W.STOPWORDS["en"]), "like_number": F.lower("token").isin(W.NUMBER_WORDS)}
+    return tokens(docs).select("*", F.lower("token").alias("lower"), lemma("token").alias("lemma"), word_class("token").alias("class"), *(c.alias(name) for name, c in flags.items()))
+
+
 def passes(token: Column | str, options: NormalizeOptions = NormalizeOptions()) -> Column:
     """The filter chain: punctuation or digits, length, number words, addresses, stop words."""
     token = T.col(token)

@@ -124,23 +124,27 @@ CONTRACTED = (
 ENTITIES = "replace(replace(replace(regexp_replace(html, '&quot;?', '\"', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160))"
 GERMAN = {"und": "and", "der": "the", "die": "the", "das": "the", "nicht": "not", "ist": "is"}
 
+LEMMAS = f"""{RULED}, u as (select doc_id, token, lower(token) as low, upper(token) = token and lower(token) <> token as up, upper(token[1]) || lower(token[2:]) = token and len(token) > 1 and lower(token) <> token as title from t),
+      k as (select *, case when regexp_matches(low, '^[0-9]') or low in {listed(W.NUMBER_WORDS)} then 'NUM' when low in {listed(W.STOPWORDS['en'])} then 'DET' when low like '%ly' then 'ADV' when regexp_matches(low, '(ous|ful|ive|able|ible|al|ic|less|ish)$') then 'ADJ'
+            when regexp_matches(low, '(ing|ed|ize|ise|ify)$') then 'VERB' when title then 'PROPN' else 'NOUN' end as class,
+            case when regexp_matches(low, '[^aeiou]ies$') then regexp_replace(low, 'ies$', 'y') when regexp_matches(low, '(ss|sh|ch|x|z)es$') then regexp_replace(low, 'es$', '') when regexp_matches(low, '[^s]s$') and len(low) > 3 then regexp_replace(low, 's$', '')
+            when regexp_matches(low, '[aeiou].*ing$') and len(low) > 5 then regexp_replace(low, 'ing$', '') when regexp_matches(low, '[aeiou].*ed$') and len(low) > 4 then regexp_replace(low, 'ed$', '') else low end as base from u)"""
+
 ORACLE_SQL = {
     "sentence_split": f"with {sents()} select doc_id, sent_id, raw from s",
     "sentence_count": f"select doc_id, len({cut()})::bigint as n_sentences from documents",
     "partition_batches": f"with {sents()} select doc_id, (sent_id // 200)::int as part_id, count(*) as n_sentences, md5(string_agg(raw, ' ' order by sent_id)) as digest from s group by 1, 2",
     "token_explode": f"{DOCS} select doc_id, sent_id, pos, token from t",
     "token_filter_chain": f"with {sents(texts(RULE_TEXTS))}, {RAW_TOKENS} select * from t where not regexp_matches(token, '{PUNCT_DIGIT}') and len(token) >= 2 and lower(token) not in {listed(W.NUMBER_WORDS)} and not regexp_matches(token, '^(?:https?://|www\\.)') and lower(token) not in {listed(W.STOPWORDS['en'])}",
+    "token_annotations": f"""{LEMMAS}
+      select doc_id, count(*) as n_tokens, count(distinct base) as n_lemmas, sum(up::int)::bigint as is_upper, sum(title::int)::bigint as is_title, sum((low in {listed(W.STOPWORDS['en'])})::int)::bigint as is_stop, sum((low in {listed(W.NUMBER_WORDS)})::int)::bigint as like_number from k group by 1""",
     "min_length_filter": f"{DOCS} select doc_id, count(*) as n_tokens from t where len(token) >= 3 group by 1",
     "special_char_filter": f"with {sents()}, {RAW_TOKENS} select doc_id, count(*) as n_tokens from t where not regexp_matches(token, '{PUNCT_DIGIT}') group by 1",
     "stopword_anti": f"{DOCS} select doc_id, count(*) as n_tokens from t where lower(token) not in {listed(ALL_STOPWORDS)} group by 1",
     "vocab_semi": f"{DOCS} select doc_id, count(*) as n_tokens from t where lower(token) in (select term from {VOCABULARY} where df >= 20) group by 1",
     "min_tokens_sentences": f"with {sents()}, {CONTENT} select doc_id, sent_id, len(tokens)::bigint as n_tokens, array_to_string(tokens, ' ') as tokens from c",
     "case_flags": f"{RULED} select doc_id, sum(case when {UPPER} then 1 else 0 end)::bigint as upper, sum(case when lower(token) = token then 1 else 0 end)::bigint as lower, count(*) as n_tokens from t group by 1",
-    "case_handling": f"""{RULED}, u as (select token, lower(token) as low, upper(token) = token and lower(token) <> token as up, upper(token[1]) || lower(token[2:]) = token and len(token) > 1 and lower(token) <> token as title from t),
-      k as (select *, case when regexp_matches(low, '^[0-9]') or low in {listed(W.NUMBER_WORDS)} then 'NUM' when low in {listed(W.STOPWORDS['en'])} then 'DET' when low like '%ly' then 'ADV' when regexp_matches(low, '(ous|ful|ive|able|ible|al|ic|less|ish)$') then 'ADJ'
-            when regexp_matches(low, '(ing|ed|ize|ise|ify)$') then 'VERB' when title then 'PROPN' else 'NOUN' end as class,
-            case when regexp_matches(low, '[^aeiou]ies$') then regexp_replace(low, 'ies$', 'y') when regexp_matches(low, '(ss|sh|ch|x|z)es$') then regexp_replace(low, 'es$', '') when regexp_matches(low, '[^s]s$') and len(low) > 3 then regexp_replace(low, 's$', '')
-            when regexp_matches(low, '[aeiou].*ing$') and len(low) > 5 then regexp_replace(low, 'ing$', '') when regexp_matches(low, '[aeiou].*ed$') and len(low) > 4 then regexp_replace(low, 'ed$', '') else low end as base from u)
+    "case_handling": f"""{LEMMAS}
       select class, count(*) as n_tokens, count(distinct case when up then upper(base) when title then upper(base[1]) || lower(base[2:]) else base end) as n_forms from k group by 1""",
     "repeat_squeeze": f"""{DOCS}, u as (select distinct lower(token) as term from t), d as (select term, list_max(list_filter(range(1, len(term)), lambda i: term[i] = term[i + 1] and term[i] not in ('-', '''', '’'))) as spot from u)
       select term, substr(term, 1, spot) || substr(term, spot + 2) as squeezed from d where spot is not null""",

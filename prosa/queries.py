@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from prosa.functions import text as T, words as W
 from prosa.operators import language, legacy, normalize, progress, ranking, sentiment, similarity, topics
-from prosa.plans import analysis
+from prosa.plans import analysis, legacy_summary as legacy_summary_plan
 from prosa.sources.documents import as_json, dashboard_html, table
 
 #: Texts that exercise the rules; the driver's documents hold none of their words. Ids are negative.
@@ -52,6 +52,11 @@ def token_filter_chain(spark, folder):
     return normalize.raw_tokens(ruled(spark, folder)).where(normalize.passes("token"))
 
 
+def token_annotations(spark, folder):
+    flags = ("is_upper", "is_title", "is_stop", "like_number")
+    return normalize.annotated(ruled(spark, folder)).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.countDistinct("lemma").alias("n_lemmas"), *(F.sum(F.col(f).cast("long")).alias(f) for f in flags))
+
+
 def min_length_filter(spark, folder):
     return normalize.tokens(docs(spark, folder)).where(F.length("token") >= 3).groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
 
@@ -308,6 +313,10 @@ def topk_summary_reversed(spark, folder):
     return ranking.top_k(own, by_degree(spark, folder), 3, descending=True).select("doc_id", F.md5("summary").alias("digest"))
 
 
+def legacy_summary(spark, folder):
+    return legacy_summary_plan.summaries(docs(spark, folder), legacy_summary_plan.LegacySummaryOptions("lexrank", "mmr", QUERY, 3))
+
+
 def to_query(spark, folder):
     """The share of a sentence's distinct content words that are in the query."""
     share = F.size(F.array_intersect("tokens", F.array(*map(F.lit, QUERY)))) / F.size(F.array_distinct("tokens"))
@@ -431,10 +440,10 @@ def language_options(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        sentence_split, sentence_count, partition_batches, token_explode, token_filter_chain, min_length_filter, special_char_filter, stopword_anti, vocab_semi, min_tokens_sentences, case_flags, case_handling, repeat_squeeze,
+        sentence_split, sentence_count, partition_batches, token_explode, token_annotations, token_filter_chain, min_length_filter, special_char_filter, stopword_anti, vocab_semi, min_tokens_sentences, case_flags, case_handling, repeat_squeeze,
         levenshtein_suggest, html_unescape_pages, html_strip_pages, contraction_expand, punct_emphasis, legacy_special_tokens, legacy_normalize, append_union, lexicon_join, sentence_valence, word_valence, cap_differential,
         booster_lookback, negation_lookback, idiom_match, but_rule, punct_amplifier, sentence_polarity, document_sentiment, sentiment_labels, descriptors, conversation_sentiment, term_frequency, collection_idf, classic_idf,
-        tfidf_weights, sentence_norms, cosine_pairs, cosine_threshold_edges, legacy_cosine_2dp, row_stochastic, degree_centrality, lexrank_scores, lexrank_summary, topk_summary, topk_summary_reversed, legacy_lexrank,
+        tfidf_weights, sentence_norms, cosine_pairs, cosine_threshold_edges, legacy_cosine_2dp, row_stochastic, degree_centrality, lexrank_scores, lexrank_summary, topk_summary, topk_summary_reversed, legacy_lexrank, legacy_summary,
         divrank_scores, legacy_divrank, grasshopper_scores, legacy_grasshopper, mmr_rerank, query_similarity_filter, embedding_query_topk, bigram_scores, phrase_merge, bow_counts, lda_topics, topic_terms, topic_relevance,
         topic_token_table, topic_distance, topic_dashboard, language_vote, language_accuracy, language_filter, conditional_translation, char_batches, progress_latest, progress_reset, progress_schedule, analysis_report,
         analysis_json, run_metrics, language_options,
