@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, functions as F
 
 from prosa.functions import text as T, words as W
+from prosa.operators import normalize
 
 
 @dataclass(frozen=True)
@@ -18,7 +19,9 @@ class LegacyOptions:
     keep_special: bool = False
     emphasis_level: int | None = None
     pos_filter: bool = False
+    keep_wordform: bool = False
     correct_spelling: bool = False
+    vocabulary: tuple[str, ...] = ()
 
     def with_contractions(self, keep: bool) -> LegacyOptions:
         """Expanding contractions requires that stop words are kept."""
@@ -47,10 +50,16 @@ def token_array(raw, options: LegacyOptions):
         return F.when(special(t), t).otherwise(word if options.keep_case else F.lower(word))
 
     out = F.filter(F.transform(kept, shaped), lambda t: t != "")
+    if options.pos_filter:
+        out = F.filter(out, lambda t: special(t) | normalize.word_class(t).isin("ADJ", "ADV", "NOUN", "VERB"))
+        if not options.keep_wordform:
+            out = F.transform(out, lambda t: F.when(special(t), t).otherwise(normalize.cased(t, normalize.lemma(t))))
+    if options.correct_spelling:
+        out = F.transform(out, lambda t: normalize.corrected(t, list(options.vocabulary)))
     return out if options.keep_stopwords else F.filter(out, lambda t: ~t.isin(W.STOPWORDS["en"] + ["n't", "'s", "'d", "'t", "'ve", "'ll"]))
 
 
-def normalize(docs: DataFrame, options: LegacyOptions = LegacyOptions()) -> DataFrame:
+def normalized(docs: DataFrame, options: LegacyOptions = LegacyOptions()) -> DataFrame:
     """doc_id, sent_id, raw and tokens; sentences without tokens stay."""
     cut = docs.select("doc_id", F.posexplode(T.sentences("text")).alias("sent_id", "raw"))
     return cut.withColumn("tokens", token_array("raw", options))
@@ -60,5 +69,5 @@ def append(first: DataFrame, second: DataFrame, options: LegacyOptions = LegacyO
     """The sentences of the second documents after those of the first ones with the same doc_id, renumbered."""
     count = F.size(T.sentences(F.coalesce("text", F.lit(""))))
     offsets = first.groupBy("doc_id").agg(F.max(count).alias("offset"))
-    later = normalize(second, options).join(offsets, "doc_id", "left").withColumn("sent_id", F.col("sent_id") + F.coalesce("offset", F.lit(0))).drop("offset")
-    return normalize(first, options).unionByName(later)
+    later = normalized(second, options).join(offsets, "doc_id", "left").withColumn("sent_id", F.col("sent_id") + F.coalesce("offset", F.lit(0))).drop("offset")
+    return normalized(first, options).unionByName(later)

@@ -129,7 +129,7 @@ def legacy_special_tokens(spark, folder):
 
 def legacy_normalize(spark, folder):
     options = legacy.LegacyOptions(keep_case=True, keep_stopwords=True).with_emphasis(4)
-    return legacy.normalize(legacy_docs(spark, folder), options).select("doc_id", "sent_id", F.array_join("tokens", " ").alias("tokens"))
+    return legacy.normalized(legacy_docs(spark, folder), options).select("doc_id", "sent_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 def append_union(spark, folder):

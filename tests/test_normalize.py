@@ -42,6 +42,13 @@ def test_legacy_golden(spark):
     assert got == [["hope", "this", "group", "of", "film-makers!!!!"], ["never", "re-unites"], ["ever", "again"], ["IT", "SUCKS????"], [">:("], ["Here", "you", "go"], [":)"]]
 
 
+def test_legacy_classes_and_spelling(spark):
+    docs = spark.createDataFrame([(1, "The dogs quickly walked coool home.")], "doc_id long, text string")
+    tokens = lambda o: legacy.normalized(docs, o).first().tokens
+    assert tokens(legacy.LegacyOptions().with_pos_filter(True)) == ["dog", "quickly", "walk", "coool", "home"]
+    assert tokens(legacy.LegacyOptions(correct_spelling=True, vocabulary=("cool", "home", "dogs")))[3:] == ["cool", "home"]
+
+
 def test_legacy_couplings():
     options = legacy.LegacyOptions()
     assert options.with_contractions(False).keep_stopwords
