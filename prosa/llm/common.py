@@ -66,9 +66,12 @@ def drop(df: DataFrame) -> None:
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of results that are staged and no longer referenced."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first run frees what Python holds, the second what that held; deletion itself runs beside
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def crc32_of_id(column="doc_id"):

@@ -54,6 +54,24 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, the lowest of all numbers first: planes of small numbers are zeros, which every codec shortens."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as the steps between them."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Ascending with the key."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -75,15 +93,16 @@ def blocks_of(docs: DataFrame, options: KatzOptions) -> DataFrame:
             nonlocal ids, lengths, parts, number, held
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
             training = np.array([fold(i, options.folds) != options.held_out for i in ids], np.uint8)
-            row = [pa.array([ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(lengths, np.int32), training, hashes, np.concatenate(parts)))]
+            row = [pa.array([ids], pa.list_(pa.int64())), *(pa.array([packed(x)], pa.binary()) for x in (np.array(lengths, np.int32), training, hashes, np.concatenate(parts)))]
             ids, lengths, parts, number, held = [], [], [], {END: 0}, 0
             return pa.RecordBatch.from_arrays(row, names=["docs", "lengths", "training", "words", "tokens"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 words = (text or b"").lower().split()
-                for w in set(words) - number.keys():
-                    number[w] = len(number)
+                for w in set(words):
+                    if w not in number:
+                        number[w] = len(number)
                 ids.append(doc_id)
                 lengths.append(len(words) + 1)
                 parts.append(np.fromiter(map(number.__getitem__, [*words, END]), np.int32, len(words) + 1))
@@ -101,8 +120,8 @@ class Grams:
     """The n-grams of one block at each order: for each token the number of its n-gram and of its context, and their keys."""
 
     def __init__(self, row: dict, order: int):
-        self.words, self.tokens = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], np.int32).astype(np.int64)
-        self.lengths = np.frombuffer(row["lengths"], np.int32)
+        self.words, self.tokens = unpacked(row["words"], np.uint64), unpacked(row["tokens"], np.int32).astype(np.int64)
+        self.lengths = unpacked(row["lengths"], np.int32)
         self.training = np.repeat(np.frombuffer(row["training"], np.uint8), self.lengths).astype(bool)
         self.starts = np.cumsum(self.lengths) - self.lengths
         begin = np.uint64(xxhash.xxh64_intdigest(BEGIN))
@@ -131,7 +150,7 @@ def rows_by_bucket(block: int, kind: str, keys: np.ndarray, buckets: int, *value
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], [v[order] for v in values]
     ends = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-    return [(kind, block, k, keys[a:b].tobytes(), *(v[a:b].tobytes() for v in values)) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+    return [(kind, block, k, packed_keys(keys[a:b]), *(packed(v[a:b]) for v in values)) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
 
 
 def ask_counts(blocks: DataFrame, m: int, buckets: int) -> DataFrame:
@@ -150,20 +169,20 @@ def answer_counts(asked: DataFrame, m: int, discounted: int) -> DataFrame:
 
     def answer(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        keys = [unpacked_keys(r["keys"]) for r in rows]
         every, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        totals = np.bincount(inverse, weights=np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]), minlength=len(every)).astype(np.uint64)
+        totals = np.bincount(inverse, weights=np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]), minlength=len(every)).astype(np.uint64)
         represents = np.zeros(len(inverse), bool)
         represents[first] = True
         out, at = [], 0
         for r, k in zip(rows, keys):
             own = slice(at, at + len(k))
-            out.append((f"count{m}", r["block"], r["bucket"], totals[inverse[own]].astype(np.uint32).tobytes(), np.packbits(represents[own]).tobytes()))
+            out.append((f"count{m}", r["block"], r["bucket"], packed(totals[inverse[own]].astype(np.uint32)), np.packbits(represents[own]).tobytes()))
             at += len(k)
         seen = totals > 0
         counts = np.bincount(totals[totals <= discounted + 1].astype(np.int64), minlength=discounted + 2)
         bucket = rows[0]["bucket"]
-        out.append((f"table{m}", -1, bucket, every[seen].tobytes(), totals[seen].astype(np.uint32).tobytes()))
+        out.append((f"table{m}", -1, bucket, packed_keys(every[seen]), packed(totals[seen].astype(np.uint32))))
         out.append((f"stat{m}", -1, bucket, np.array([*counts[1:], seen.sum(), totals.sum()], np.int64).tobytes(), b""))
         return answer_table(out)
 
@@ -225,7 +244,7 @@ class Scorer:
 
     def unsorted(self, kind: str, keys: np.ndarray, column: str, dtype) -> np.ndarray:
         out = np.empty(len(keys), dtype)
-        out[np.argsort(keys, kind="stable")] = np.concatenate([np.frombuffer(r[column], dtype) for r in self.answers[kind]])
+        out[np.argsort(keys, kind="stable")] = np.concatenate([unpacked(r[column], dtype) for r in self.answers[kind]])
         return out
 
     def counts(self, m: int) -> np.ndarray:
@@ -283,7 +302,7 @@ def cogrouped(blocks: DataFrame, answers: list[DataFrame], function, schema: str
 def ask_sums(blocks: DataFrame, answers: list[DataFrame], levels: list, m: int, buckets: int) -> DataFrame:
     def ask(row, own):
         keys, counts, discounted, lower = Scorer(row, own, levels, m).sums(m)
-        rows = rows_by_bucket(row["block"], str(m), keys, buckets, counts.astype(np.float64), discounted, lower)
+        rows = rows_by_bucket(row["block"], str(m), keys, buckets, counts.astype(np.uint32), discounted, lower)
         types = (pa.string(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "block", "bucket", "keys", "counts", "discounted", "lower"), zip(*rows), types)})
 
@@ -295,19 +314,20 @@ def answer_sums(asked: DataFrame, m: int) -> DataFrame:
 
     def answer(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        keys = [unpacked_keys(r["keys"]) for r in rows]
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        counts, discounted, lower = (np.bincount(inverse, weights=np.concatenate([np.frombuffer(r[c]) for r in rows]), minlength=len(every)) for c in ("counts", "discounted", "lower"))
+        added = lambda c, dtype: np.bincount(inverse, weights=np.concatenate([unpacked(r[c], dtype) for r in rows]), minlength=len(every))
+        counts, discounted, lower = added("counts", np.uint32), added("discounted", np.float64), added("lower", np.float64)
         denominator = np.where(counts - discounted > 1e-9 * counts, counts, np.where(counts > 0, counts + 1.0, 0.0))
         with np.errstate(divide="ignore", invalid="ignore"):
             weight = np.where(counts > 0, (denominator - discounted) / denominator / np.maximum(1.0 - lower, 1e-12), 1.0)
         out, at = [], 0
         for r, k in zip(rows, keys):
             own = inverse[at : at + len(k)]
-            out.append((f"alpha{m}", r["block"], r["bucket"], denominator[own].tobytes(), weight[own].tobytes()))
+            out.append((f"alpha{m}", r["block"], r["bucket"], packed(denominator[own]), packed(weight[own])))
             at += len(k)
         seen = counts > 0
-        out.append((f"backoff{m}", -1, rows[0]["bucket"], every[seen].tobytes(), np.column_stack([denominator[seen], weight[seen]]).tobytes()))
+        out.append((f"backoff{m}", -1, rows[0]["bucket"], packed_keys(every[seen]), packed(np.concatenate([denominator[seen], weight[seen]]))))
         return answer_table(out)
 
     return asked.groupBy("bucket").applyInArrow(answer, ANSWERS)
