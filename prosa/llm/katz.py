@@ -116,11 +116,27 @@ def blocks_of(docs: DataFrame, options: KatzOptions) -> DataFrame:
     return stage(cut_docs.withColumn("block", F.monotonically_increasing_id()).select("block", "docs", "lengths", "training", "words", "tokens"), "lm-blocks")
 
 
+def numbered(context: np.ndarray, tokens: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of context and token: a place of each distinct pair, and each place's pair number. Temporaries are dropped as early as they can."""
+    pairs = context.astype(np.int64)
+    pairs *= words
+    pairs += tokens
+    order = np.argsort(pairs, kind="stable")
+    pairs = pairs[order]
+    new = np.empty(len(pairs), bool)
+    new[:1] = True
+    np.not_equal(pairs[1:], pairs[:-1], out=new[1:])
+    del pairs
+    gram = np.empty(len(order), np.int32)
+    gram[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return order[new], gram
+
+
 class Grams:
     """The n-grams of one block at each order: for each token the number of its n-gram and of its context, and their keys."""
 
     def __init__(self, row: dict, order: int):
-        self.words, self.tokens = unpacked(row["words"], np.uint64), unpacked(row["tokens"], np.int32).astype(np.int64)
+        self.words, self.tokens = unpacked(row["words"], np.uint64), unpacked(row["tokens"], np.int32)
         self.lengths = unpacked(row["lengths"], np.int32)
         self.training = np.repeat(np.frombuffer(row["training"], np.uint8), self.lengths).astype(bool)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -133,7 +149,7 @@ class Grams:
             context[1:] = self.gram[m - 1][:-1] + 1
             context[self.starts] = 0
             context_keys = np.concatenate([np.array([begin + np.uint64(m)], np.uint64), self.keys[m - 1]])
-            _, example, gram = np.unique(context * len(self.words) + self.tokens, return_index=True, return_inverse=True)
+            example, gram = numbered(context, self.tokens, len(self.words))
             self.context.append(context)
             self.context_keys.append(context_keys)
             self.gram.append(gram)
