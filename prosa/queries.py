@@ -354,7 +354,7 @@ def bow_counts(spark, folder):
 
 
 def fitted(spark, folder):
-    return topics.fit(content(spark, folder))
+    return topics.fit(topics.with_terms(phrase_merge(spark, folder)))
 
 
 def lda_topics(spark, folder):
