@@ -17,7 +17,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_classifier.filter_documents(docs, table(spark, sf_dir, "labels"))
+    # fitted on the whole table: the rules leave hardly any bad document to learn from
+    return quality_classifier.filter_documents(docs, table(spark, sf_dir, "labels"), labelled=table(spark, sf_dir, "documents"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

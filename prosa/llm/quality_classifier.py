@@ -131,9 +131,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, options: ClassifierOptio
     return scored.select("doc_id", (crc32_of_id() % options.folds == options.held_out).alias("held_out"), "score", "predicted")
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, options: ClassifierOptions = ClassifierOptions(), least: float = 0.5) -> DataFrame:
-    """The documents that score at least `least`, with all their columns."""
-    model = fit(stage(document_stats(docs).select("doc_id", *FEATURES), "quality-stats"), labels, options)
+def filter_documents(docs: DataFrame, labels: DataFrame, options: ClassifierOptions = ClassifierOptions(), least: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
+    """The documents that score at least `least`, with all their columns. labelled: the documents to fit on where docs, being filtered, may lack the bad ones."""
+    model = fit(stage(document_stats(docs if labelled is None else labelled).select("doc_id", *FEATURES), "quality-stats"), labels, options)
     at = docs.columns.index("text")
 
     def keep(batches):

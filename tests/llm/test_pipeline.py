@@ -58,3 +58,14 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns and stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_the_classifier_rejects_bad_documents_that_the_rules_left(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("length(text) > 200").dropDuplicates(["doc_id"])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id", "cast(doc_id % 15 <> 0 as int) as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = docs.where("doc_id % 15 <> 0")
+    planted = docs.where("doc_id % 15 = 0").selectExpr("doc_id + 10000 as doc_id", "text", "lang", "source", "n_chars")  # without labels
+    assert planted.count() > 10
+    kept = [r.doc_id for r in corpus_pipeline.quality_classifier_stage(spark, clean.unionByName(planted), str(tmp_path)).collect()]
+    assert not [i for i in kept if i >= 10000] and len(kept) > 0.95 * clean.count()
