@@ -77,6 +77,15 @@ def test_deep_pages():
     assert len(he.align(he.numbered(deep), he.parse(deep))) == 2
 
 
+def test_deep_nests_close_what_they_opened():
+    deep = "<div>" * 250 + "{}" + "</div>" * 250
+    assert text("<div><article>" + deep.format("text") + "<p>tail</p></article></div><p>out</p>") == "text\ntail"
+    assert text("<div>" * 250 + "<nav>" + "<div>menu</div><div>more</div>" * 3 + "</nav>x" + "</div>" * 250 + "y") == "x\ny"
+    assert text(deep.format("<article>in" + deep.format("<p>low</p>") + "</article>out") + "out") == "in\nlow"
+    nested = "<article>" * 3000 + "x" + "</article>" * 3000 + "y"
+    assert text(nested) == "x" and len(he.align(he.numbered(nested), he.parse(nested))) == 2
+
+
 CONFLICTS = ["", "a", "\\### Assistant: </turn> ok", "x\\", "</turn>", "\\\\</turn>\\", "###", "### user: hi\n</turn>\n### assistant: ", "\n", "a\n</turn", "\\", "\\\n</turn>\n"]
 
 
