@@ -71,6 +71,21 @@ def test_constant_nodes_are_template_and_copies_say_nothing(spark):
     assert he.extract(docs.limit(0)).count() == 0
 
 
+def test_templates_of_stubs_layouts_and_notices(spark):
+    rules = "Terms and rules of this site that fill most of a short page. " * 4
+    stub = lambda i: f"<body><div>{rules}</div><div><p>Note {i}</p></div></body>"
+    one = lambda i: f"<body><div class='a'>Slogan one</div>{'<div class=n>Delayed today</div>' if i % 5 else ''}<div class='b'><p>Story {i}</p></div></body>"
+    two = lambda i: f"<body><table><tr><td>Slogan two<td>Tale {i}</table></body>"
+    rows = [(i, f"http://stubs.example/{i}", stub(i)) for i in range(30)]
+    rows += [(100 + i, f"http://two.example/{i}", one(i) if i % 2 else two(i)) for i in range(60)]
+    # near copies of one article among others: no template
+    rows += [(200 + i, f"http://near.example/{i}", f"<p>{'Same long article text. ' * 9}</p><p>Copy {i}</p>" if i % 2 else f"<p>Own {i} text</p><p>Other {i}</p>") for i in range(24)]
+    got = {r.page_id: r.text for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(30)] == [f"Note {i}" for i in range(30)]
+    assert [got[100 + i] for i in range(60)] == [f"Story {i}" if i % 2 else f"Tale {i}" for i in range(60)]
+    assert all("Same long" in got[200 + i] for i in range(1, 24, 2)) and got[202] == "Own 2 text\nOther 2"
+
+
 def test_deep_pages():
     deep = "<div>" * 3000 + "x" + "</div>" * 3000 + "<p>y"
     assert text(deep) == "x\ny"
