@@ -9,8 +9,8 @@ others whose bound is not below the k-th exact score so far, highest bound first
 The query set is cut into groups and meets every block (a stated set against all rows, in blocks); of each pair of group and block k
 results for each query go on, and a window keeps the best k. Blocks are independent of each other: hot or equal vectors don't gather anywhere.
 
-Defined cases: vectors that are null, empty or hold null or non-finite components, and rows without a vec_id, take no part; of repeated
-vec_ids one vector, the least, counts; vectors of another length than the query's are not compared; ties go to the smaller vec_id; an empty
+Defined cases: vectors that are null, empty or hold null or non-finite components, and rows without a vec_id, take no part; rows equal in
+vec_id and integers count once, rows that share only the vec_id each count, as candidates and as queries; vectors of another length than the query's are not compared; ties go to the smaller vec_id; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -47,7 +47,8 @@ def integers(values: np.ndarray) -> np.ndarray:
 def _valid(vectors: DataFrame) -> DataFrame:
     known = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id is not null and embedding is not null and size(embedding) > 0")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return known.where(finite).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    whole = F.transform("embedding", lambda x: F.floor(256.0 * x))
+    return known.where(finite).withColumn("whole", whole).dropDuplicates(["vec_id", "whole"]).drop("whole")
 
 
 def _packed(rows: DataFrame, most: int) -> DataFrame:
@@ -94,13 +95,15 @@ def _with_cells(blocks: DataFrame, cells: int) -> DataFrame:
 
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, exact: np.ndarray, low: np.ndarray, width: np.ndarray, cell: np.ndarray, options: SearchOptions):
-    """(query_id, vec_id, score) of the k best rows of a block for each query."""
+    """(number of the query, vec_id, score) of the k best rows of a block for each query; its own row is the one of its id and vector."""
     cells = cell.astype(np.float64)
     for at in range(0, len(queries), options.at_once):
         q = queries[at : at + options.at_once]
         bounds = (q * width).astype(np.float64) @ cells.T + (q @ low + np.maximum(q, 0) @ (width - 1))[:, None]
-        for own, bound, query in zip(query_ids[at : at + options.at_once].tolist(), bounds, q):
-            bound[ids == own] = -np.inf
+        for number, (own, bound, query) in enumerate(zip(query_ids[at : at + options.at_once].tolist(), bounds, q), at):
+            alike = np.flatnonzero(ids == own)
+            alike = alike[(exact[alike] == query).all(1)]
+            bound[alike] = -np.inf
             rest = np.flatnonzero(bound > -np.inf)
             if not len(rest):
                 continue
@@ -116,7 +119,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, ex
                         certain = np.partition(scores, -options.k)[-options.k]
             best = np.lexsort((ids[first], -scores))[: options.k]
             for i in best.tolist():
-                yield own, int(ids[first[i]]), int(scores[i])
+                yield number, int(ids[first[i]]), int(scores[i])
 
 
 def top_k(vectors: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
@@ -140,11 +143,13 @@ def top_k(vectors: DataFrame, options: SearchOptions = SearchOptions()) -> DataF
             dim = b["dim"]
             numbers = lambda x, kind=np.int64, dim=dim: np.frombuffer(x, kind).reshape(-1, dim)
             for g in right.to_pylist():
-                rows += search_block(numbers(g["exact"]), np.frombuffer(g["ids"], np.int64), np.frombuffer(b["ids"], np.int64), numbers(b["exact"]), numbers(b["low"])[0], numbers(b["width"])[0], numbers(b["cell"], np.uint8), options)
-        names, columns = ("query_id", "vec_id", "score"), list(zip(*rows)) or [(), (), ()]
+                own = np.frombuffer(g["ids"], np.int64)
+                found = search_block(numbers(g["exact"]), own, np.frombuffer(b["ids"], np.int64), numbers(b["exact"]), numbers(b["low"])[0], numbers(b["width"])[0], numbers(b["cell"], np.uint8), options)
+                rows += [(g["group"], n, int(own[n]), i, score) for n, i, score in found]
+        names, columns = ("group", "number", "query_id", "vec_id", "score"), list(zip(*rows)) or [()] * 5
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
 
     dealt = met(blocks, "group", group_keys).groupBy("block", "group").cogroup(met(groups, "block", block_keys).groupBy("block", "group"))
-    found = dealt.applyInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = dealt.applyInArrow(search, "group long, number long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("group", "number").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= options.k).select("query_id", "rank", "vec_id", "score")

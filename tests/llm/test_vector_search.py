@@ -27,3 +27,10 @@ def test_equals_brute_force(spark):
     assert sorted(map(tuple, repeated)) == brute(exact)
     assert vs.top_k(df.limit(0)).count() == 0
     assert sorted(map(tuple, vs.top_k(df.where("vec_id in (50, 51)")).collect())) == brute([r for r in exact if r[0] in (50, 51)])
+
+
+def test_rows_that_share_an_id_all_count(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (7, [3.0, 0.0]), (7, [0.0, 2.0])]
+    got = sorted((r.score, r.rank, r.vec_id) for r in vs.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    one = 256 * 256
+    assert got == sorted([(3 * one, 1, 7), (0, 2, 7), (0, 3, 50), (2 * one, 1, 7), (0, 2, 7), (0, 3, 50)])
