@@ -11,11 +11,15 @@ Within a variant's group no pairs are enumerated. Members with the same left-out
 are chained; chains whose blocks differ in one bit are joined (each block looks up its 21 or 22 neighbours); members that are
 the unchanged variant itself are compared to each other up to 3 bits. Every link is found by one of these under one of the three blocks.
 
-A task keeps a forest of what it has linked and sends a link per fingerprint, not per meeting. Components come from alternating large-star and small-star steps, each staged, on distinct fingerprints with a link only.
-
-Defined cases: null and wordless texts have fingerprint 0 and link to each other; repeated rows each get a row; a null doc_id
-takes part but never names a component unless nothing else does (then component_id is null); an empty table gives an empty
-result; other columns are ignored by `near_duplicates` and kept by `keep_one`.
+A task keeps a forest of what it has linked, of at most MOST_LINKED fingerprints at a time, and sends a link per fingerprint, not per
+meeting. Components come from alternating large-star and small-star steps, each staged, on distinct fingerprints with a link only. In a step,
+fingerprints with over a thousandth of all links (fewer than a thousand, whatever the input) get their least neighbour by broadcast, so that no
+hub's links meet in one task; the others by a join.
+
+Defined cases: null and wordless texts have fingerprint 0 and link to each other; a text of any length is read whole, its shingles in blocks of
+numbers; repeated rows each get a row; ties (a bit set in exactly half of the hashes) leave the bit 0; a null doc_id takes part but never names a
+component unless nothing else does (then component_id is null); an empty table gives an empty result; other columns are ignored by
+`near_duplicates` and kept by `keep_one`. Rows that share a doc_id but not the text are documents of their own in `keep_one`.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ SEED = 42
 #: First bit and size of the three blocks.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 RADIUS = 3
+#: Fingerprints in a task's forest; a full one is sent on and begun anew.
+MOST_LINKED = 400_000
+#: A hub has over 1 in so many links.
+HUB_SHARE = 1000
 
 
 def fingerprint(text: bytes) -> int:
@@ -140,6 +148,9 @@ def links(distinct: DataFrame, rows: int) -> DataFrame:
             unite(forest, links_of_groups(v[:end], f[:end], starts[:-1]))
         unite(forest, links_of_groups(kept_v, kept_f, np.zeros(min(1, len(kept_v)), np.int64)))
         yield stars_of(forest)
+            if len(forest) > MOST_LINKED:
+                yield stars_of(forest)
+                forest.clear()
 
     def join(batches):
         forest: dict[int, int] = {}
@@ -147,8 +158,11 @@ def links(distinct: DataFrame, rows: int) -> DataFrame:
             unite(forest, zip(*(batch.column(i).to_numpy().view(np.uint64).tolist() for i in range(2))))
         yield stars_of(forest)
 
+            if len(forest) > MOST_LINKED:
+                yield stars_of(forest)
+                forest.clear()
     # tasks know a fingerprint under different roots: where its links meet, the roots are linked once and the fingerprint keeps one link
-    return sent.mapInArrow(meet, "a long, b long").repartition("b").mapInArrow(join, "a long, b long")
+    return sent.mapInArrow(meet, "a long, b long").repartition(parts, "b").mapInArrow(join, "a long, b long")
 
 
 def stars_of(forest: dict[int, int]) -> pa.RecordBatch:
@@ -207,7 +221,13 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) of every node with a link. Alternating large-star and small-star steps."""
 
     def to_min(pairs: DataFrame) -> DataFrame:
-        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("least", "u").alias("m")), "u")
+        """u, v and m: the least of u and its neighbours."""
+        least = stage(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least-neighbours")
+        total = least.agg(F.sum("n")).first()[0] or 0
+        hubs = least.where(F.col("n") * HUB_SHARE > total).select("u", "m")  # fewer than HUB_SHARE rows: their links would outnumber all
+        rest = least.where(F.col("n") * HUB_SHARE <= total).select("u", "m")
+        marked = pairs.join(F.broadcast(hubs), "u", "left")
+        return marked.where("m is not null").unionByName(marked.where("m is null").drop("m").join(rest, "u"))
 
     def measure(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
