@@ -59,15 +59,17 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long); hashed: and text_hash, Spark's xxhash64 of the text."""
 
     def scan(batches):
         for batch in batches:
             found = np.array([fingerprint(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    more = [F.xxhash64(text).alias("text_hash")] if hashed else []
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), *more).mapInArrow(scan, "doc_id long, fp long" + ", text_hash long" * hashed)
 
 
 def variants(fp):
@@ -146,21 +148,21 @@ def links(distinct: DataFrame, rows: int) -> DataFrame:
             end = starts[-1] if len(starts) else 0  # the last group may go on in the next batch
             kept_v, kept_f = v[end:], f[end:]
             unite(forest, links_of_groups(v[:end], f[:end], starts[:-1]))
-        unite(forest, links_of_groups(kept_v, kept_f, np.zeros(min(1, len(kept_v)), np.int64)))
-        yield stars_of(forest)
             if len(forest) > MOST_LINKED:
                 yield stars_of(forest)
                 forest.clear()
+        unite(forest, links_of_groups(kept_v, kept_f, np.zeros(min(1, len(kept_v)), np.int64)))
+        yield stars_of(forest)
 
     def join(batches):
         forest: dict[int, int] = {}
         for batch in batches:
             unite(forest, zip(*(batch.column(i).to_numpy().view(np.uint64).tolist() for i in range(2))))
-        yield stars_of(forest)
-
             if len(forest) > MOST_LINKED:
                 yield stars_of(forest)
                 forest.clear()
+        yield stars_of(forest)
+
     # tasks know a fingerprint under different roots: where its links meet, the roots are linked once and the fingerprint keeps one link
     return sent.mapInArrow(meet, "a long, b long").repartition(parts, "b").mapInArrow(join, "a long, b long")
 
@@ -250,13 +252,18 @@ def components(edges: DataFrame) -> DataFrame:
     return inner.unionByName(outer)
 
 
+def roots_of(distinct: DataFrame, rows: int) -> DataFrame:
+    """node and root of every fingerprint with a link, roots included. distinct: fp."""
+    stars = stage(components(links(distinct, rows)), "stars")
+    free_shuffles(distinct.sparkSession)
+    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable), a row per document."""
     marked = stage(fingerprints(docs), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct-fingerprints")
-    stars = stage(components(links(distinct.select("fp"), distinct.count())), "stars")
-    free_shuffles(docs.sparkSession)
-    linked = distinct.join(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), F.col("fp") == F.col("node")).select("fp", "root", "doc")
+    linked = distinct.join(roots_of(distinct.select("fp"), distinct.count()), F.col("fp") == F.col("node")).select("fp", "root", "doc")
     least = linked.groupBy("root").agg(F.min("doc").alias("least"))
     named = stage(linked.select("fp", "root").join(least, "root").select(F.col("fp").alias("own"), "least"), "named-components")
     known = distinct.join(named, F.col("fp") == F.col("own"), "left").select(F.col("fp").alias("own"), F.coalesce("least", "doc").alias("component_id"))
@@ -264,18 +271,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one that names it, with all its columns; of repeated rows with one id, one stays.
+    """One document of each group, with all its columns.
 
-    Of a group whose ids are all null one row stays.
+    Of a group stays the row with the least doc_id (null ones last), of several texts with that id the one with the least hash;
+    of repeated rows with one id and text, one. Only ids and hashes are shuffled beside the kept texts.
     """
-    named = near_duplicates(docs)
-    kept = named.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    if nameless.limit(1).count():
-        alone = named.where("component_id is null").select("fp").distinct()
-        marked = nameless.withColumn("prosa_row", F.xxhash64("text"))
-        prints = fingerprints(marked.select(F.col("prosa_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "prosa_print").distinct()
-        least = prints.join(alone, "fp").groupBy("fp").agg(F.min("prosa_print").alias("prosa_print"))
-        one = one.unionByName(marked.join(least.select("prosa_print"), F.col("prosa_row") == F.col("prosa_print"), "left_semi").dropDuplicates(["prosa_row"]).drop("prosa_row"))
-    return one
+    marked = stage(fingerprints(docs, hashed=True), "fingerprints")
+    distinct = stage(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first")), "distinct-fingerprints")
+    roots = roots_of(distinct.select("fp"), distinct.count())
+    grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    own = {c.lower() for c in docs.columns}
+    id_name, hash_name = (next(x for x in (f"{base}{'_' * n}" for n in range(len(own) + 1)) if x not in own) for base in ("kept_id", "kept_hash"))
+    kept = stage(grouped.select(F.col("first.doc_id").alias(id_name), F.col("first.text_hash").alias(hash_name)), "kept-documents")
+    free_shuffles(docs.sparkSession)
+    repeats = marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash"))
+    repeats = stage(repeats, "repeated-documents")
+    again = F.col(id_name).eqNullSafe(F.col("again_id")) & (F.col(hash_name) == F.col("again_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(id_name)) & (F.xxhash64(docs["text"].cast("string")) == F.col(hash_name))
+    once = docs.join(kept.join(repeats, again, "left_anti"), same, "left_semi")
+    more = docs.join(kept.join(repeats, again, "left_semi"), same).dropDuplicates([id_name, hash_name])
+    return once.unionByName(more.drop(id_name, hash_name))

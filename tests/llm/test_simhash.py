@@ -117,3 +117,40 @@ def test_table_with_nulls_ties_and_copies(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one(docs).count() == 0
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    base = " ".join(f"word{i}" for i in range(400))
+    other = " ".join(f"other{i}" for i in range(300))
+    rows = [(5, base, 1), (5, other, 2), (6, base + " more", 3), (5, other, 4), (None, base + " more", 5), (None, "near nothing else here", 6), (None, "near nothing ELSE here", 7), (None, "far away", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").selectExpr("*", "0 as kept_id", "0 as n", "'x' as again_hash")
+    kept = simhash.keep_one(docs).collect()
+    found = sorted((str(r.doc_id), (r.text or "").lower()) for r in kept)
+    assert found == sorted([("5", base), ("5", other), ("None", "near nothing else here"), ("None", "far away")])
+    assert simhash.keep_one(docs).columns == docs.columns
+
+
+def test_a_very_long_text_and_many_equal_rows(spark):
+    long = " ".join(f"w{i % 9973}" for i in range(300_000))
+    rows = [(1, long), (2, long + " end"), *[(10 + i, "the same few words") for i in range(500)]]
+    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][1] == got[2][1] == 1 and got[1][0] == simhash.fingerprint(long.encode()) and all(got[10 + i][1] == 10 for i in range(500))
+
+
+def test_hubs_and_full_forests(spark, monkeypatch):
+    """A hub with most links, chains, and forests that are sent on early."""
+    monkeypatch.setattr(simhash, "MOST_LINKED", 20)
+    rng = random.Random(4)
+    hub = rng.getrandbits(64)
+    prints = {hub, *(hub ^ sum(1 << b for b in rng.sample(range(64), rng.choice((1, 2, 3, 4, 5)))) for _ in range(400)), *(rng.getrandbits(64) for _ in range(50))}
+    now = rng.getrandbits(64)
+    for _ in range(60):
+        now ^= sum(1 << b for b in rng.sample(range(64), 2))
+        prints.add(now)
+    prints = sorted(prints)
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    roots = {r.node: r.root for r in simhash.roots_of(spark.createDataFrame([(s,) for s in signed], "fp long"), len(signed)).collect()}
+    label = {}
+    for s, c in zip(signed, brute_components(list(zip(prints, prints)))):
+        label.setdefault(c, set()).add(roots.get(s, s))
+    assert all(len(x) == 1 for x in label.values()) and len(set().union(*label.values())) == len(label)
