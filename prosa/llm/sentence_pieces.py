@@ -5,15 +5,19 @@ these the backend is rebuilt: the precompiled character map and white-space rule
 unigram model or, where the file holds a BPE model (as the one installed here does), as merges ordered by score; byte fallback spells what
 has no piece.
 
-No piece of such a model holds the marker after another character, which is checked when the model is read; a text's words can thus be encoded apart. Each
-task encodes each distinct word once, in multithreaded batches, and holds the ids against those of the sentencepiece library;
-words where both differ get that library's ids and are counted. Other texts (runs of spaces, character maps) are encoded whole by both.
-
-Defined cases: a null or empty text has no ids; repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
+No piece of such a model holds the marker after another character, which is checked when the model is read; a text's words can thus be encoded
+apart. Each task encodes each distinct word once: new words, joined to texts of CHUNK words, go to the backend in multithreaded batches, and so
+they go to the sentencepiece library. The ids that are returned are always the backend's; parity is reported for each text as the number
+of its words that the library encodes otherwise, whatever a worker has met before. Other texts (runs of spaces, character maps) are
+encoded whole, in batches as well.
+
+Defined cases: a null or empty text has no ids; a text of any length is encoded whole, word by word, its ids as one row; repeated rows each get a
+row; an empty table gives an empty result; other columns are ignored. There are no ties: merges of equal score are ordered by their pieces' ids.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -27,6 +31,8 @@ from prosa.llm.common import worker_cache
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
+#: Words in a text of a batch.
+CHUNK = 128
 
 
 @dataclass
@@ -123,62 +129,69 @@ def separable(model: PieceModel) -> bool:
 
 
 class Codec:
-    """Encodes texts with the backend, checked against the sentencepiece library, and decodes ids."""
+    """Encodes texts with the backend, compared to the sentencepiece library, and decodes ids."""
 
     def __init__(self, path: str, cached_words: int, threads: int):
         import sentencepiece
 
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))  # the backend reads it with its first batch
         self.model = read_model(path)
         self.backend, self.peer = backend(self.model), sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads, self.cached_words, self.cache = threads, cached_words, {}
         self.apart = separable(self.model) and self.model.dummy_prefix and not self.model.squeeze and not self.model.character_map and not any(k == USER_DEFINED for *_, k in self.model.pieces)
         self.begins = np.array([p.startswith(MARK) for p, *_ in self.model.pieces])
         self.spelt = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
-        self.differing = 0
+        self.unlike: set[str] = set()  # cached words that the library encodes otherwise
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts by the backend; where the sentencepiece library differs, its ids."""
+    def batch(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The backend's ids of each text, by a multithreaded batch, and whether the library's are the same."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if self.threads > 1 else "false"  # other operators of this worker may have set it
         own = [np.array(x.ids, "<u4") for x in self.backend.encode_batch(texts, add_special_tokens=False)]
-        peer = [np.array(x, "<u4") for x in self.peer.encode(texts, num_threads=self.threads)]
-        self.differing += sum(not np.array_equal(a, b) for a, b in zip(own, peer))
-        return peer
+        peer = self.peer.encode(texts, num_threads=self.threads)
+        return own, [np.array_equal(a, np.array(b, "<u4")) for a, b in zip(own, peer)]
 
     def learn(self, words: list[str]) -> None:
         """Puts the ids of words, each with a space before it, into the cache."""
-        if not words:
-            return
-        text = " ".join(words)
-        own, peer = (np.array(x, "<u4") for x in (self.backend.encode(text, add_special_tokens=False).ids, self.peer.encode(text, num_threads=1)))
-        starts = np.flatnonzero(self.begins[own])
-        if np.array_equal(own, peer) and len(starts) == len(words):
-            packed, ends = own.tobytes(), np.append(starts, len(own)) * 4
-            self.cache.update((w, packed[a:b]) for w, a, b in zip(words, ends[:-1].tolist(), ends[1:].tolist()))
-        elif len(words) > 1:
-            half = len(words) // 2
-            self.learn(words[:half])
-            self.learn(words[half:])
-        else:
-            self.cache[words[0]] = self.whole(words)[0].tobytes()
+        chunks = [words[at : at + CHUNK] for at in range(0, len(words), CHUNK)]
+        alone: list[str] = []
+        for chunk, ids, same in zip(chunks, *self.batch([" ".join(c) for c in chunks])):
+            starts = np.flatnonzero(self.begins[ids])
+            if same and len(starts) == len(chunk):
+                packed, ends = ids.tobytes(), np.append(starts, len(ids)) * 4
+                self.cache.update((w, packed[a:b]) for w, a, b in zip(chunk, ends[:-1].tolist(), ends[1:].tolist()))
+            else:
+                alone += chunk
+        for word, ids, same in zip(alone, *self.batch(alone)):
+            self.cache[word] = ids.tobytes()
+            if not same:
+                self.unlike.add(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if not self.apart:
-            return [x.tobytes() for x in self.whole(texts)]
-        cut = [t.split(" ") if t else [] for t in texts]
+        """The backend's ids as little-endian unsigned 32-bit numbers."""
+        return [ids for ids, _ in self.checked(texts)]
+
+    def checked(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """encode() of each text, and how many of its words (1 for a text that is encoded whole) the library encodes otherwise."""
+        cut = [t.split(" ") if t else [] for t in texts] if self.apart else [None] * len(texts)
         if len(self.cache) > self.cached_words:
             self.cache.clear()
+            self.unlike.clear()
         wanted: set[str] = set()
         for parts in cut:
-            wanted.update(parts)
-        new = [w for w in wanted if w and MARK not in w and w not in self.cache]
-        for at in range(0, len(new), 4096):
-            self.learn(new[at : at + 4096])
-        out = []
-        for text, parts in zip(texts, cut):
+            wanted.update(parts or ())
+        self.learn([w for w in wanted if w and MARK not in w and w not in self.cache])
+        out: list = []
+        whole: list[int] = []
+        for k, parts in enumerate(cut):
             try:
-                out.append(b"".join(map(self.cache.__getitem__, parts)))
-            except KeyError:  # spaces beside spaces
-                out.append(self.whole([text])[0].tobytes())
+                if parts is None:
+                    raise KeyError
+                out.append((b"".join(map(self.cache.__getitem__, parts)), sum(map(self.unlike.__contains__, parts)) if self.unlike else 0))
+            except KeyError:  # spaces beside spaces, or a model whose words can't be encoded apart
+                whole.append(k)
+                out.append(None)
+        for k, ids, same in zip(whole, *self.batch([texts[k] for k in whole])):
+            out[k] = (ids.tobytes(), int(not same))
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -186,14 +199,18 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
-def codec_of(path: str, cached_words: int = 400_000, threads: int = 1) -> Codec:
-    cache = worker_cache("codecs")
-    if path not in cache:
-        cache[path] = Codec(path, cached_words, threads)
-    return cache[path]
+def codec_of(path: str, cached_words: int = 400_000, threads: int | None = None) -> Codec:
+    """A worker's codec. threads: two at least, by default as many as a task has cores."""
+    from pyspark import TaskContext
+
+    cache, task = worker_cache("codecs"), TaskContext.get()
+    threads = threads or max(2, task.cpus() if task else 2)
+    if (path, threads) not in cache:
+        cache[path, threads] = Codec(path, cached_words, threads)
+    return cache[path, threads]
 
 
-def encode(docs: DataFrame, model: str, threads: int = 1) -> DataFrame:
+def encode(docs: DataFrame, model: str, threads: int | None = None) -> DataFrame:
     """doc_id and ids (array of int), a row per document."""
 
     def scan(batches):
@@ -217,8 +234,8 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(scan, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model: str, threads: int = 1) -> DataFrame:
-    """doc_id, n_ids, ids_crc32, n_unlike (words or texts where both libraries differed, found while this row's batch was encoded) and round_trip (the ids decode to the text)."""
+def round_trip(docs: DataFrame, model: str, threads: int | None = None) -> DataFrame:
+    """doc_id, n_ids, ids_crc32, n_unlike (the text's words that the sentencepiece library encodes otherwise) and round_trip (the ids decode to the text)."""
 
     def scan(batches):
         codec = codec_of(model, threads=threads)
@@ -226,11 +243,9 @@ def round_trip(docs: DataFrame, model: str, threads: int = 1) -> DataFrame:
             doc_ids, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(doc_ids), 512):
                 texts = [x or "" for x in all_texts[at : at + 512]]
-                before = codec.differing
-                ids = codec.encode(texts)
-                found = codec.differing - before
+                found = codec.checked(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids[at : at + 512], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([found] * len(ids), pa.int64()), pa.array([codec.decode(x) == t for x, t in zip(ids, texts)])],
+                    [pa.array(doc_ids[at : at + 512], pa.int64()), pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([zlib.crc32(x) for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()), pa.array([codec.decode(x) == t for (x, _), t in zip(found, texts)])],
                     names=["doc_id", "n_ids", "ids_crc32", "n_unlike", "round_trip"],
                 )
 

@@ -53,7 +53,7 @@ def test_parity_with_the_other_library(model):
     texts = TEXTS + ["".join(rng.choice("abcde  \n.é") for _ in range(rng.randint(0, 60))) for _ in range(300)]
     codec = sp.Codec(model, 100, 1)
     got = [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)]
-    assert got == peer.encode(texts) and codec.differing == 0
+    assert got == peer.encode(texts) and not codec.unlike
     assert [codec.decode(np.array(x, "<u4").tobytes()) for x in got] == texts
     own = [x.ids for x in codec.backend.encode_batch(texts, add_special_tokens=False)]
     assert own == peer.encode(texts)  # the rebuilt backend alone
@@ -103,3 +103,33 @@ def test_tables(spark, model):
     encoded = sp.encode(docs, model)
     assert sorted((tuple(r) for r in sp.decode(encoded, model).collect()), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
     assert sp.round_trip(docs.limit(0), model).count() == 0 and sp.encode(docs.limit(0), model).count() == 0
+
+
+def test_the_ids_are_the_backend_s_and_parity_does_not_depend_on_the_cache(spark, model):
+    """Words on which both libraries are made to differ: the backend's ids come back, and each text counts its own ones."""
+    one, many = sp.Codec(model, 1_000, 1), sp.Codec(model, 1_000, 4)
+    for codec in (one, many):
+        right = codec.peer
+
+        class Wrong:
+            def encode(self, texts, num_threads):
+                return [[*x, 7] if "odd" in t else x for t, x in zip(texts, right.encode(texts, num_threads=num_threads))]
+
+        codec.peer = Wrong()
+    texts = ["odd words are odd", "plain words", "odd", "", "two  spaces", "odd  spaces", "odd oddly even " * 200] + [f"word{i} word{i * 7 % 50}" for i in range(500)]
+    want = [2, 0, 1, 0, 0, 1, 1 + 199, *[0] * 500]
+    for codec in (one, many):
+        for _ in range(2):
+            found = codec.checked(texts)
+            assert [np.frombuffer(x, "<u4").tolist() for x, _ in found] == [x.ids for x in codec.backend.encode_batch(texts, add_special_tokens=False)]
+            counts = [n for _, n in found]
+            assert counts[:6] == want[:6] and counts[7:] == want[7:]
+    assert one.checked(texts) == many.checked(texts)[::1] == [many.checked([t])[0] for t in texts]
+
+
+def test_a_very_long_text(spark, model):
+    text = " ".join(f"w{i % 20011}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = sp.round_trip(docs, model).first()
+    ids = sentencepiece.SentencePieceProcessor(model_file=model).encode(text)
+    assert (row.n_ids, row.n_unlike, row.round_trip) == (len(ids), 0, True)
