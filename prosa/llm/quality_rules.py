@@ -1,13 +1,13 @@
 """Quality rules: an isolation forest on rule statistics, its threshold calibrated from labelled rows.
 
-A document's statistics are counted in one pass and staged. The forest is grown on the driver from a pool of at most
-`pool` documents drawn by a hash of the id (a documented bound: an isolation tree needs 256 rows whatever the corpus holds).
+A document's statistics are counted in one pass and staged. The forest is grown on the driver from a pool of the `pool` distinct rows of id and
+statistics with the least hash (a documented bound: an isolation tree needs 256 rows whatever the corpus holds); rows found several times are one.
 Every document then gets the mean path length over random splits, as the usual score 2^(-E[path]/c(256)): short paths,
 high scores, are anomalous. The threshold comes from all labelled documents: a histogram of their scores, by label, is summed
 in the cluster, and the cut is the one with the largest (share of bad ones rejected - `clean_weight` * share of good ones rejected).
 
-Defined cases: a null text has no words and fails the base rule; repeated rows each get a row; a repeated label counts once,
-its lowest quality; without labels of both kinds the forest rejects nothing; an empty table gives an empty result. Other
+Defined cases: a null text has no words and fails the base rule; a text of any length is counted whole; repeated rows each get a row; a
+score equal to the threshold is kept; of equally good thresholds the middle of the lowest stretch counts; a repeated label counts once, its lowest quality; without labels of both kinds the forest rejects nothing; an empty table gives an empty result. Other
 columns of the input are ignored by `score_documents` and kept by `filter_documents`.
 """
 
@@ -119,7 +119,7 @@ def columns(batch: pa.RecordBatch, names) -> np.ndarray:
 
 
 def choose_threshold(rows: list[tuple[int, int, int]], clean_weight: float) -> float:
-    """rows: (bin, quality, count) of labelled documents. The highest cut among the best ones; infinity without both labels."""
+    """rows: (bin, quality, count) of labelled documents. The middle of the lowest stretch of best cuts; infinity without both labels."""
     good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
     for at, quality, n in rows:
         (good if quality else bad)[at] += n
@@ -134,10 +134,10 @@ def choose_threshold(rows: list[tuple[int, int, int]], clean_weight: float) -> f
 
 def fit(stats: DataFrame, labels: DataFrame, options: RulesOptions = RulesOptions()) -> RulesModel:
     """The forest from a pool of the documents, the threshold from all labelled ones that pass the base rule."""
-    n = stats.count()
-    share = min(1.0, options.pool / max(1, n))
-    drawn = stats.where(unit_hash("doc_id", *COUNTS) < share).select("doc_id", *FEATURES).collect()
-    drawn = [tuple(r)[1:] for r in sorted(drawn, key=lambda r: (r[0] is None, r))]
+    rows = stats.select(unit_hash("doc_id", *COUNTS).alias("draw"), "doc_id", *FEATURES)
+    distinct = rows.agg(F.approx_count_distinct("draw", 0.02)).first()[0]
+    share = min(1.0, 1.5 * options.pool / max(1, distinct))  # half as much again, so that the least hashes are among them
+    drawn = rows.where(F.col("draw") < share).distinct().orderBy("draw", "doc_id", *FEATURES).limit(options.pool).select(*FEATURES).collect()
     forest = grow_forest(np.array(drawn, dtype=np.float64).reshape(len(drawn), len(FEATURES)), options)
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
