@@ -2,11 +2,12 @@
 
 Labels come only from rows outside the held-out fold (crc32 of the id mod 3 is 1). Of these, four fifths (by a hash of the
 id) fit the ridge scores and the rest calibrate them, so the calibration never sees a row that the scores were fitted to.
-Each partition sums its own normal equations; what reaches the driver are `partials` matrices of (D + 1)^2, however many
-rows there are. At most `max_labelled` labelled rows are used (a documented bound; rows are drawn by a hash). Features are the
+Each partition sums its own normal equations; what reaches the driver are at most `partials` matrices of (D + 1)^2 (34 MB in all), however
+many rows there are. At most `max_labelled` labelled rows are used (a documented bound; rows are drawn by a hash). Features are the
 statistics of text_stats, standardised; labels, lang, source and doc_id are no inputs.
 
-Defined cases: a null text is scored as the empty one; repeated rows each get a row; a repeated label counts once, its lowest
+Defined cases: a null text is scored as the empty one; a text of any length is counted whole; a score of exactly 0.5 is predicted 1 and kept;
+equal raw scores get equal scores; repeated rows each get a row; a repeated label counts once, its lowest
 quality; without labels of both kinds every score is 0.5; an empty table gives an empty result; other columns are ignored by
 `score_documents` and kept by `filter_documents`.
 """
@@ -35,7 +36,7 @@ class ClassifierOptions:
     held_out: int = 1
     calibration_share: float = 0.2
     max_labelled: int = 1_000_000
-    partials: int = 16
+    partials: int = 64
 
 
 @dataclass(frozen=True)

@@ -101,3 +101,70 @@ def test_edge_rows(spark, score):
 def test_rules_columns(spark):
     docs, labels, _ = corpus(spark, 30)
     assert qr.score_documents(docs, labels).columns[:8] == ["doc_id", *COUNTS, "base_failed", "kept"]
+
+
+def test_the_threshold_is_the_best_of_all_cuts():
+    rng = random.Random(6)
+    for _ in range(60):
+        rows = [(rng.randrange(qr.BINS), rng.randrange(2), rng.randint(1, 5)) for _ in range(rng.randint(1, 40))]
+        weight = rng.choice((0.5, 1.0, 20.0))
+        sums = [sum(n for _, q, n in rows if q == k) for k in (0, 1)]
+        got = qr.choose_threshold(rows, weight)
+        if not all(sums):
+            assert got == float("inf")
+            continue
+        gain = lambda cut: sum(n * ((1 - q) / sums[0] - weight * q / sums[1]) for at, q, n in rows if at / qr.BINS >= cut)  # noqa: E731  scores of a bin lie at or above its lower end
+        best = max(gain(k / qr.BINS) for k in range(1, qr.BINS + 2))
+        assert gain(got) == pytest.approx(best) if best > 1e-12 else got == float("inf") or gain(got) == pytest.approx(best)
+
+
+def test_the_pool_is_bounded_and_counts_equal_rows_once(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(qr, "grow_forest", lambda pool, options: sizes.append(len(np.unique(pool, axis=0))) or sizes.append(len(pool)) or [])
+    rows = [(1, "the same text " * 20)] * 3000 + [(i, f"own text {i} " * (1 + i % 9)) for i in range(2, 302)]
+    stats = qr.document_stats(spark.createDataFrame(rows, "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    qr.fit(stats, labels, qr.RulesOptions(pool=100))
+    qr.fit(stats, labels)
+    assert sizes[1] == 100 and sizes[3] == 301
+
+
+def brute_isotonic(y, n):
+    """Level of each place: the largest of all left ends' least mean up to a right end."""
+    return [max(min(sum(y[a : b + 1]) / sum(n[a : b + 1]) for b in range(i, len(y))) for a in range(i + 1)) for i in range(len(y))]
+
+
+def test_isotonic_levels_equal_the_minmax_formula():
+    rng = random.Random(2)
+    for _ in range(100):
+        n = [float(rng.randint(1, 5)) for _ in range(rng.randint(1, 12))]
+        y = [float(rng.randint(0, int(k))) for k in n]
+        _, values = qc.pool_adjacent(np.arange(len(n), dtype=float), np.array(y), np.array(n))
+        assert sorted(set(np.round(values, 9))) == sorted(set(np.round(brute_isotonic(y, n), 9)))
+
+
+def test_scores_equal_a_plain_ridge_solution_and_isotonic_levels(spark):
+    """The whole fit from rows in one array: features, ridge by least squares on stacked rows, levels by the min-max formula."""
+    docs, labels, _ = corpus(spark, 240)
+    options = qc.ClassifierOptions(dimensions=40)
+    stats = qc.document_stats(docs)
+    model = qc.fit(stats, labels, options)
+    marked = labels.selectExpr("doc_id", "cast(quality as double) as y", "pmod(xxhash64(doc_id, 'calibrate'), 1000) < 200 as calibrate")
+    rows = [r for r in stats.join(marked, "doc_id").select("doc_id", "y", "calibrate", *qc.FEATURES).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    x, y, later = np.array([tuple(r)[3:] for r in rows]), np.array([r.y for r in rows]), np.array([r.calibrate for r in rows])
+    mean, deviation = x[~later].mean(0), x[~later].std(0)
+    z = np.clip((x - mean) / np.where(deviation > 1e-9, deviation, 1.0), -8, 8)
+    rng = np.random.default_rng(options.seed)
+    d = len(qc.FEATURES)
+    weights, phases = rng.normal(size=(d, 40)) / np.sqrt(d), rng.uniform(0, 2 * np.pi, 40)
+    f = np.column_stack([np.sqrt(2 / 40) * np.cos(z @ weights + phases), np.ones(len(z))])
+    penalty = np.sqrt(options.ridge * (~later).sum()) * np.diag(np.r_[np.ones(40), np.sqrt(1e-9)])
+    beta = np.linalg.lstsq(np.vstack([f[~later], penalty]), np.r_[y[~later], np.zeros(41)], rcond=None)[0]
+    assert model.raw(x) == pytest.approx(f @ beta, abs=1e-6)
+    bins = np.clip(np.floor((f[later] @ beta + 0.5) / 2 * qc.BINS), 0, qc.BINS - 1)
+    own = np.unique(bins)
+    levels = brute_isotonic([y[later][bins == b].sum() for b in own], [float((bins == b).sum()) for b in own])
+    assert sorted(set(np.round(model.values, 9))) == sorted(set(np.round(levels, 9)))
+    scores = model.score(x)
+    order = np.argsort(model.raw(x))
+    assert (np.diff(scores[order]) >= 0).all() and scores.min() >= 0 and scores.max() <= 1
