@@ -8,8 +8,8 @@ with the same content are one group with a multiplicity, so the plan has a few t
 rank among those of its length (counts by length and hash bucket, a running sum, a row number within the bucket), and
 the plan maps (length, rank) to (sequence, offset). No length, however frequent, meets in one task.
 
-Defined cases: a null text counts as empty and is the single id 0; repeated rows are packed as often as they occur; an empty
-table gives an empty result; other columns are ignored.
+Defined cases: a null text counts as empty and is the single id 0; a text of any length is tokenised whole; repeated rows are packed as often
+as they occur; pieces of equal length are ties, any of them may take any of their places; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -182,17 +182,17 @@ def plan(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int
 
 
 def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
-    """pieces with `rank`: a number from 0 among the pieces of the same length."""
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    """pieces with `rank`: a number from 0 among the pieces of the same length. salt: deals out rows that are equal in all else."""
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "salt"), F.lit(buckets)))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32", "salt")) - 1
     return dealt.withColumn("own", own).join(before, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("before")).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
 
 
 def pack(docs: DataFrame, options: PackingOptions, pieces_of: Callable[[DataFrame, PackingOptions], DataFrame] = tokenise) -> DataFrame:
     """PIECES with sequence_id and offset, a row per piece."""
-    pieces = stage(pieces_of(docs, options), "pieces")
+    pieces = stage(pieces_of(docs, options).withColumn("salt", F.monotonically_increasing_id()), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     packed = plan(counts, options.capacity)
     begins = {n: np.array([s[0] for s in stretches]) for n, stretches in packed.items()}

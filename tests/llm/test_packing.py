@@ -88,3 +88,13 @@ def test_pack(spark, vocabulary):
         assert at <= 2048
     assert len(bins) <= -(-sum(r.length for r in got) // 2048) * 1.1 + 1
     assert packing.pack(docs.limit(0), packing.PackingOptions(vocabulary)).count() == 0
+
+
+def test_equal_rows_are_dealt_to_many_buckets(spark):
+    """Rows that are equal in all columns get the ranks 0, 1, 2, ... and no bucket holds most of them."""
+    from pyspark.sql import functions as F
+
+    pieces = spark.range(0, 4000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(7).cast("long").alias("length"), F.lit(9).cast("long").alias("ids_crc32"), F.col("id").alias("salt"))
+    assert sorted(r["rank"] for r in packing.ranked(pieces, 64).collect()) == list(range(4000))
+    dealt = pieces.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "salt"), F.lit(64))).count().collect()
+    assert len(dealt) == 64 and max(r["count"] for r in dealt) < 200
