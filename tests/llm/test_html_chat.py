@@ -129,3 +129,63 @@ def test_conversations(spark):
         assert [x[:2] for x in chat.parse(whole.formatted)] == turns
         assert "".join(chat.unescape(whole.formatted[s.begin : s.end]) for s in whole.loss_spans) == learnt
     assert chat.digests(df.limit(0)).count() == 0 and chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_names_inside_articles_and_broken_attributes():
+    page = "<article><p class='related-work'>Related</p><div id='search-algorithms'>Search</div><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p><div class='comment-list'>no</div><div class='site-footer'>no</div></article>"
+    assert text(page) == "Related\nSearch\nIf x=1 then"
+    assert text("<p title=\"a>bad attr</p><p>next") == "bad attr\nnext" and text("<a href=it's>that's</a> all") == "that's all" and text("<p>end<p class=x") == "end"
+    assert text("<p data-x='a>b' title=\"c>d\">e</p>") == "e"
+
+
+def test_the_wrapper_alone_finds_blocks_that_change_from_page_to_page(spark, monkeypatch):
+    """No names at all: menus, adverts and footers whose texts differ on each page go by their place and structure, articles of any length stay."""
+    for names in ("LANDMARKS", "ROLES", "MARKS", "CONTENT"):
+        monkeypatch.setattr(he, names, frozenset())
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    said = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        story = [said(rng.randint(5, 60)) for _ in range(rng.randint(1, 8))]
+        menu = "".join(f"<li>{word()}</li>" for _ in range(rng.randint(4, 6)))
+        html = f"<body><div><ul>{menu}</ul></div><div>{said(4)}</div><div><h1>{said(3)} {i}</h1>{''.join(f'<p>{p}</p>' for p in story)}</div><div>(c) {said(3)}</div></body>"
+        rows.append((i, f"http://host.example/{i}", html))
+        want[i] = html.split("<h1>")[1].split("</h1>")[0] + "\n" + "\n".join(story)
+    got = {r.page_id: r.text for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_long_lists_of_unlike_siblings_are_matched_in_a_band():
+    rng = random.Random(7)
+    lists = lambda n: "".join(f"<li class=c{rng.randrange(40)}><p>t{k}</p><p>u</p></li>" for k in range(n))
+    a = he.numbered("<ul>" + lists(20_000) + "</ul>")
+    b = he.parse("<ul>" + lists(20_000) + "</ul>")
+    pairs = he.align(a, b)  # a full match would need 4e8 steps
+    place = {id(x): k for k, x in enumerate(he.every_node(b))}
+    order = [place[id(y)] for _, y in sorted(pairs, key=lambda p: p[0].slot)]
+    assert 2_000 < len(pairs) <= 40_000 and order == sorted(order)
+
+
+def test_a_band_that_holds_everything_gives_the_full_match(monkeypatch):
+    rng = random.Random(8)
+    page = lambda: "<div>" + "".join(f"<div class=c{rng.randrange(6)}><p>t{rng.randrange(9)}</p><p>u</p></div>" for _ in range(rng.randint(1, 14))) + "</div>"
+    for _ in range(60):
+        a, b = he.numbered(page()), he.parse(page())
+        full = he.align(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(he, "MOST_CELLS", 0)
+            m.setattr(he, "BAND", 20)
+            assert len(he.align(a, b)) == len(full)
+
+
+def test_a_very_long_page():
+    page = "<article>" + "".join(f"<p>Paragraph {k} of a long page</p>" for k in range(100_000)) + "</article>"
+    assert text(page).count("\n") == 99_999 and len(he.align(he.numbered(page), he.parse(page))) == 100_000
+
+
+def test_a_very_long_turn(spark):
+    long = "### x </turn> " * 100_000
+    df = spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string")
+    row = chat.digests(df).first()
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (1, len(long), hashlib.sha256(long.encode()).hexdigest())
