@@ -59,10 +59,37 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def drop(df: DataFrame) -> None:
-    """Deletes what stage() wrote for df."""
+    """Deletes what stage() wrote for df, which nothing reads again."""
     remove(df.sparkSession, df._staged_at)
 
 
+def stage_parts(spark: SparkSession, parts, schema: str, name: str) -> DataFrame:
+    """Writes one DataFrame after the other into one staged table and reads the whole; no part gives an empty one."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_at_exit, spark, path)
+    spark.createDataFrame([], schema).write.option("compression", "zstd").parquet(path)
+    for part in parts:
+        part.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+#: Bytes in memory up to which a staged table is broadcast.
+MOST_BROADCAST = 32_000_000
+
+
+def _bytes_of(kind: str, column):
+    """The size of a value in memory, about."""
+    if kind == "string" or kind == "binary":
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    return F.coalesce(F.octet_length(F.to_json(F.struct(column.alias("x")))), F.lit(0)) + 16
+
+
+def broadcast_if_small(staged: DataFrame) -> DataFrame:
+    """The staged table, marked for a broadcast if its measured size allows it."""
+    size = staged.agg(F.sum(sum(_bytes_of(kind, F.col(c)) for c, kind in staged.dtypes))).first()[0] or 0
+    return F.broadcast(staged) if size <= MOST_BROADCAST else staged
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of results that are staged and no longer referenced."""
     import gc
