@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prosa.llm.common import free_shuffles, stage
+from prosa.llm.common import drop, free_shuffles, stage
 
 SEED = 42
 #: First bit and size of the three blocks.
@@ -222,9 +222,12 @@ def unite(forest: dict[int, int], pairs) -> None:
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) of every node with a link. Alternating large-star and small-star steps."""
 
+    old: list[DataFrame] = []
+
     def to_min(pairs: DataFrame) -> DataFrame:
         """u, v and m: the least of u and its neighbours."""
         least = stage(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least-neighbours")
+        old.append(least)
         total = least.agg(F.sum("n")).first()[0] or 0
         hubs = least.where(F.col("n") * HUB_SHARE > total).select("u", "m")  # fewer than HUB_SHARE rows: their links would outnumber all
         rest = least.where(F.col("n") * HUB_SHARE <= total).select("u", "m")
@@ -243,7 +246,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         large = to_min(both_ways(now)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = to_min(large)
+        old.append(now)
         now = stage(small.select(F.col("u"), F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        while old:
+            drop(old.pop())
         before, state = state, measure(now)
         if before == state:
             break
