@@ -67,5 +67,19 @@ QUERIES = {
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_token_counts": op10_token_counts,
 }
-#: None of these can be expressed in SQL; tests/llm holds each against a brute-force version.
-ORACLE_SQL: dict[str, str] = {}
+_VECTORS = """v as (select distinct vec_id, list_transform(embedding, lambda x: floor(256.0::double * x::double)) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)"""
+
+_TURNS = r"""t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+  r as (select *, replace(replace(replace(replace(replace(replace(role, '%', '%25'), ':', '%3a'), '#', '%23'), '\', '%5c'), '<', '%3c'), chr(10), '%0a') as name,
+    case when contains(text, '</turn>') or contains(text, '\###') then regexp_replace(text, '(\\*)(###|</turn>)', '\1\\\2', 'g') else text end as body from t)"""
+
+#: The others grow forests, fit models, pack, link or align; tests/llm holds each against a brute-force version.
+ORACLE_SQL: dict[str, str] = {
+    "op5_vector_search": f"""with {_VECTORS}, q as (select vec_id as query_id, e as asked from v where vec_id % 50 = 0),
+  s as (select query_id, vec_id, list_dot_product(asked, e)::bigint as score from q join v on len(asked) = len(e) and query_id <> vec_id),
+  r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s) select * from r where rank <= 5""",
+    "op8_chat_formatting": f"""with {_TURNS} select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(case when role = 'assistant' then len(text) end), 0)::bigint as loss_chars, sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
+  sum(len('### ' || name || ': ' || body || chr(10) || '</turn>' || chr(10)))::bigint as formatted_chars from r group by 1""",
+}
