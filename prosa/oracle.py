@@ -55,24 +55,36 @@ def sentiment_sql(source: str, tail: str) -> str:
     opened = lambda k: f"(pos >= {k} and coalesce(l{k}, false) = false)"
     idiom = lambda x: "case " + " ".join(f"when {x} = {quoted(k)} then {v}::double" for k, v in W.IDIOMS.items()) + " end"
     damp = listed([x for x in W.BOOSTERS + W.DAMPENERS if " " in x])
-    steps = ["select *, base + case when cap and " + UPPER + " then (case when base > 0 then 0.733 else -0.733 end) else 0 end as v from x where base is not null"]
+    said = {}  # what a step adds to the descriptor, by number of the step
+    add = lambda when, what: f"coalesce(case when {when} then ' ' || {what} end, '')"
+    steps = ["select *, base + case when cap and " + UPPER + " then (case when base > 0 then 0.733 else -0.733 end) else 0 end as v, token as d from x where base is not null"]
     for k, factor in ((1, 1.0), (2, 0.95), (3, 0.9)):
         b = boosting(k)
         steps.append(f"case when {opened(k)} and ({b}) is not null then v + (({b}) * (case when v < 0 then -1 else 1 end) + case when cap and {capital(k)} then (case when v > 0 then 0.733 else -0.733 end) else 0 end) * {factor}::double else v end")
+        said[len(steps) - 1] = add(f"{opened(k)} and ({b}) is not null", f"lower(w{k})")
         if k == 1:
             steps.append(f"case when {opened(1)} and {negated(1)} then v * -0.74 else v end")
+            said[len(steps) - 1] = add(f"{opened(1)} and {negated(1)}", "w1")
         if k == 2:
             steps.append(f"case when {opened(2)} and coalesce(w2 = 'never', false) then (case when w1 in ('so', 'this') then v * 1.5 else v end) when {opened(2)} and {negated(2)} then v * -0.74 else v end")
+            said[len(steps) - 1] = add(f"{opened(2)} and w2 = 'never' and w1 in ('so', 'this')", "'never ' || w1") + " || " + add(f"{opened(2)} and coalesce(w2 <> 'never', true) and {negated(2)}", "w2")
         if k == 3:
             steps.append(f"case when {opened(3)} and w3 = 'never' and w2 in ('so', 'this') then v * 1.25 else v end")
+            said[len(steps) - 1] = add(f"{opened(3)} and w3 = 'never' and w2 in ('so', 'this')", "'never ' || w2")
             steps.append(f"case when {opened(3)} and w1 in ('so', 'this') then v * 1.25 else v end")
+            said[len(steps) - 1] = add(f"{opened(3)} and w1 in ('so', 'this')", "w1")
             steps.append(f"case when {opened(3)} and {negated(3)} then v * -0.74 else v end")
+            said[len(steps) - 1] = add(f"{opened(3)} and {negated(3)}", "w3")
             behind = [idiom(x) for x in ("w1||' '||token", "w2||' '||w1||' '||token", "w2||' '||w1", "w3||' '||w2||' '||w1", "w3||' '||w2")]
             steps.append(f"case when {opened(3)} then coalesce({', '.join(behind)}, v) else v end")
             steps.append(f"case when {opened(3)} then coalesce({idiom("token||' '||f1||' '||f2")}, {idiom("token||' '||f1")}, v) else v end")
+            ahead = [(x, f"({idiom(x)}) is not null") for x in ("token||' '||f1", "token||' '||f1||' '||f2")]
+            said[len(steps) - 1] = " || ".join(add(f"{opened(3)} and {when}", x) for x, when in ahead)
             steps.append(f"v - (case when {opened(3)} and w3||' '||w2 in {damp} then 0.293::double else 0 end) - (case when {opened(3)} and w2||' '||w1 in {damp} then 0.293::double else 0 end)")
+    said[len(steps) - 1] = " || ".join(add(f"{opened(3)} and {x} in {damp}", x) for x in ("w3||' '||w2", "w2||' '||w1"))
     steps.append("case when lower(w1) = 'least' and not coalesce(l1, false) and (pos = 1 or (pos > 1 and lower(w2) not in ('at', 'very'))) then v * -0.74 else v end")
-    chain = [f"v0 as ({steps[0]})"] + [f"v{i} as (select * replace ({s} as v) from v{i - 1})" for i, s in enumerate(steps[1:], 1)]
+    said[len(steps) - 1] = add("lower(w1) = 'least' and not coalesce(l1, false) and (pos = 1 or (pos > 1 and lower(w2) not in ('at', 'very')))", "'least'")
+    chain = [f"v0 as ({steps[0]})"] + [f"v{i} as (select * replace ({s} as v, d || {said.get(i, quoted(''))} as d) from v{i - 1})" for i, s in enumerate(steps[1:], 1)]
     names = ", ".join(f"lag(token, {k}) over o as w{k}, lag(known, {k}) over o as l{k}" for k in (1, 2, 3))
     return f"""with {sents(source)}, {TOKENS}, lx as (select * from {values(sorted(W.LEXICON.items()))} as q(term, val)),
       k as (select t.*, val::double as val, val is not null as known from t left join lx on lower(token) = term),
@@ -81,7 +93,7 @@ def sentiment_sql(source: str, tail: str) -> str:
       x as (select *, ups > 0 and ups < n_words as cap, coalesce(b1, b2) as but_at,
             case when lower(token) in {listed([*W.BOOSTERS, *W.DAMPENERS])} or (lower(token) = 'kind' and lower(f1) = 'of') then null else val end as base from n),
       {", ".join(chain)},
-      hit as (select doc_id, sent_id, pos, token, v as before, case when pos < but_at then v * 0.5 when pos > but_at then v * 1.5 else v end as v from v{len(steps) - 1})
+      hit as (select doc_id, sent_id, pos, token, d, v as before, case when pos < but_at then v * 0.5 when pos > but_at then v * 1.5 else v end as v from v{len(steps) - 1})
       {tail}"""
 
 
@@ -91,6 +103,9 @@ POLARITY = f""", per as (select doc_id, sent_id, sum(v) as x, sum(case when v >
       b as (select *, x + case when x > 0 then amp when x < 0 then -amp else 0 end as c, case when up > abs(down) then up + amp else up end as p, abs(case when up < abs(down) then down - amp else down end) as m from a),
       pol as (select doc_id, sent_id, case when n > 0 then round(m / (p + m + n - told), 3) else 0 end as neg, case when n > 0 then round((n - told) / (p + m + n - told), 3) else 0 end as neu,
             case when n > 0 then round(p / (p + m + n - told), 3) else 0 end as pos, case when n > 0 then round(c / sqrt(c * c + 15), 4) else 0 end as compound from b)"""
+DESCRIBED = f""", sides as (select doc_id, sent_id, coalesce(string_agg(d, '|' order by pos) filter (before > 0), '') as pos, coalesce(string_agg(d, '|' order by pos) filter (before < 0), '') as neg from hit group by 1, 2),
+      rest as (select doc_id, sent_id, count(*) filter (val is null and lower(token) not in {listed([*W.BOOSTERS, *W.DAMPENERS])} and not (lower(token) = 'kind' and coalesce(lower(f1) = 'of', false))) as n_neu from x group by 1, 2)
+      select doc_id, sent_id, pos, neg, n_neu from sides join rest using (doc_id, sent_id) where pos <> '' or neg <> ''"""
 LABEL = "case when abs(compound) < 0.1 then 'neutral' when compound > 0.8 then 'extremely positive' when compound > 0 then 'positive' when compound < -0.8 then 'extremely negative' when compound < 0 then 'negative' else '' end"
 MEAN = lambda x, digits: f"sum(round({x} * {10**digits})::bigint)::double / (count(*) * {10**digits}::double)"
 ROUNDED = lambda x, digits: f"floor(({x}) * {10**digits}::double + 0.5::double) / {10**digits}::double"
@@ -110,6 +125,15 @@ PHRASES = f"""{CONTENT}, p as (select doc_id, sent_id, unnest(tokens) as term, u
 MERGED = f"""{PHRASES}, fl as (select q.*, ph.a is not null as phrase from q left join ph on term = a and following = b),
       rn as (select *, pos - coalesce(max(case when not phrase then pos end) over ({ORDERED}), -1) as since from fl), tk as (select *, phrase and since % 2 = 1 as take from rn), gn as (select *, coalesce(lag(take) over ({ORDERED}), false) as gone from tk),
       mg as (select doc_id, sent_id, pos, case when take then term || '_' || following else term end as term from gn where not gone)"""
+LEXRANK = f"""{PAIRS}, link as materialized (select doc_id, i, j from pairs where sim > 0.1 union all select doc_id, j, i from pairs where sim > 0.1 union all select doc_id, sent_id, sent_id from c),
+      walk as materialized (select *, count(*) over (partition by doc_id, i) as degree from link),
+      it as (select doc_id, sent_id, 0 as step, 1.0::double / count(*) over (partition by doc_id) as x, 1.0::double as moved from c
+        union all select doc_id, sent_id, step, y, sqrt(sum((y - x) * (y - x)) over (partition by doc_id)) from
+          (select it.doc_id, walk.j as sent_id, step + 1 as step, sum(x / degree) as y, max(case when i = j then x end) as x from it join walk on it.doc_id = walk.doc_id and it.sent_id = walk.i where moved > 0.001 group by 1, 2, 3)),
+      lexrank as (select doc_id, sent_id, x / max(x) over (partition by doc_id) as score from (select *, max(step) over (partition by doc_id) as last from it) where step = last),
+      placed as (select c.doc_id, c.sent_id, raw, row_number() over (partition by c.doc_id order by round(score, 9) desc, c.sent_id) as place from c join lexrank using (doc_id, sent_id)),
+      summed as (select doc_id, string_agg(raw, ' ' order by sent_id) as summary from placed where place <= 5 group by 1)"""
+RECURSIVE = lambda sql: sql.replace("with ", "with recursive ", 1)
 VOTES = "list_transform(regexp_extract_all(text, '" + WORD + "'), lambda x: lower(x))"
 LANGS = sorted(W.STOPWORDS)
 VOTED = f"v as (select doc_id, lang, text, {', '.join(f'len(list_filter({VOTES}, lambda x: x in {listed(W.STOPWORDS[k])})) as n_{k}' for k in LANGS)} from documents), d as (select *, greatest({', '.join(f'n_{k}' for k in LANGS)}) as most, {' + '.join(f'n_{k}' for k in LANGS)} as total from v), det as (select doc_id, lang, text, case when most = 0 then null {' '.join(f'when n_{k} = most then {quoted(k)}' for k in LANGS)} end as detected, case when total > 0 then round(most / total, 6) else 0 end as confidence from d)"
@@ -174,7 +198,17 @@ ORACLE_SQL = {
     "sentence_polarity": sentiment_sql(texts(RULE_TEXTS), POLARITY + " select * from pol"),
     "document_sentiment": sentiment_sql(texts(RULE_TEXTS), POLARITY + " " + MEANS),
     "sentiment_labels": sentiment_sql(texts(RULE_TEXTS), POLARITY + f" select {LABEL} as label, count(*) as n_sentences from pol group by 1"),
-    "conversation_sentiment": sentiment_sql("(select conv_id * 1000 + turn as doc_id, text from conversations)", POLARITY + f", dm as ({MEANS}) select c.conv_id, c.role, count(*) as n_turns, {ROUNDED(MEAN('compound', 6), 4)} as compound from conversations c join dm on dm.doc_id = c.conv_id * 1000 + c.turn group by 1, 2"),
+    "descriptors": sentiment_sql(texts(RULE_TEXTS), DESCRIBED),
+    "lexrank_scores": RECURSIVE(f"with {sents()}, {LEXRANK} select doc_id, sent_id, round(score, 6) as score from lexrank"),
+    "lexrank_summary": RECURSIVE(f"with {sents()}, {LEXRANK} select * from summed"),
+    "analysis_report": f"""select doc_id, len({cut()})::int as n_sentences, detected, compound, positive, negative, neutral, summary, case when compound is not null then {LABEL} end as label
+      from (with {VOTED} select doc_id, text, detected from det) left join ({sentiment_sql("documents", POLARITY + " " + MEANS)}) using (doc_id) left join ({RECURSIVE(f"with {sents()}, {LEXRANK} select * from summed")}) using (doc_id)""",
+    "char_batches": r"""with recursive w as (select doc_id, unnest(l) as word, unnest(range(len(l))) as pos from (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as l from documents)),
+      s as materialized (select doc_id, sum(len(word) + 1) over (partition by doc_id order by pos)::bigint as upto from w),
+      b as (select doc_id, 0 as batch, 0::bigint as base, coalesce(min(upto) filter (upto > 4500), max(upto)) as upto from s group by 1
+        union all select b.doc_id, b.batch + 1, b.upto, coalesce(min(s.upto) filter (s.upto - b.upto > 4500), max(s.upto)) from b join s on s.doc_id = b.doc_id and s.upto > b.upto group by 1, 2, 3)
+      select doc_id, batch, (upto - base)::int as n_chars from b""".replace("\\\\", "\\"),
+    "conversation_sentiment": sentiment_sql("(select conv_id || '/' || turn as doc_id, text from conversations)", POLARITY + f", dm as ({MEANS}) select c.conv_id, c.role, count(*) as n_turns, {ROUNDED(MEAN('compound', 6), 4)} as compound from conversations c join dm on dm.doc_id = c.conv_id || '/' || c.turn group by 1, 2"),
     "term_frequency": f"with {sents()}, {CONTENT} select * from tf",
     "collection_idf": f"with {sents()}, {WEIGHTED} select doc_id, term, round(idf, 6) as idf from g",
     "classic_idf": f"with {sents()}, {WEIGHTED} select doc_id, term, round(cidf, 6) as idf from g",

@@ -161,14 +161,13 @@ def cap_differential(spark, folder):
 
 def booster_lookback(spark, folder):
     found = sentiment.hits(words_of(spark, folder), W.LEXICON)
-    before = lambda k: F.get("words", F.col("pos") - k)
-    pulled = sum(F.coalesce(sentiment.booster(before(k)), F.lit(0.0)) for k in (1, 2, 3))
+    pulled = sum(F.coalesce(sentiment.booster(F.col(f"b{k}")), F.lit(0.0)) for k in (1, 2, 3))
     return found.select("doc_id", "sent_id", "pos", F.round(pulled, 6).alias("boost")).where("boost <> 0")
 
 
 def negation_lookback(spark, folder):
     found = sentiment.hits(words_of(spark, folder), W.LEXICON)
-    n = sum(sentiment.negated(F.get("words", F.col("pos") - k)).cast("long") for k in (1, 2, 3))
+    n = sum(sentiment.negated(F.col(f"b{k}")).cast("long") for k in (1, 2, 3))
     return found.select("doc_id", "sent_id", "pos", n.alias("n_negations")).where("n_negations > 0")
 
 
@@ -204,7 +203,7 @@ def descriptors(spark, folder):
 
 
 def conversation_sentiment(spark, folder):
-    turns = table(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", "conv_id", "role")
+    turns = table(spark, folder, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text", "conv_id", "role")
     scored = sentiment.document_sentiment(sentiment.sentence_words(turns.select("doc_id", "text")))
     return turns.join(scored, "doc_id").groupBy("conv_id", "role").agg(F.count("*").alias("n_turns"), T.rounded(T.mean_of_digits("compound", 6), 4).alias("compound"))
 
@@ -265,9 +264,10 @@ def degree_centrality(spark, folder):
 
 
 def ranked(spark, folder, mode):
+    """Scores rounded to 6 digits."""
     own = similarity.together(content(spark, folder))
     idf = "classic_idf" if mode.startswith("legacy") else "collection_idf"
-    return ranking.rank(own, similarity.pairs(weights(spark, folder), idf), mode)
+    return ranking.rank(own, similarity.pairs(weights(spark, folder), idf), mode).withColumn("score", F.round("score", 6))
 
 
 def lexrank_scores(spark, folder):

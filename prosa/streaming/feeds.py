@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from prosa.functions import text as T, words as W
+from prosa.operators import sentiment
 
 
 def windowed_valence(stream: DataFrame, time: str = "ts", text: str = "text", late: str = "10 minutes", size: str = "5 minutes", lexicon: dict[str, float] | None = None) -> DataFrame:
     """start, n_words and mean valence of the lexicon words of each window. Stateless up to the aggregation; late rows go with the watermark."""
-    known = F.broadcast(stream.sparkSession.createDataFrame(sorted((lexicon or W.LEXICON).items()), "term string, valence double"))
+    known = F.broadcast(sentiment.lexicon_table(stream.sparkSession, lexicon or W.LEXICON).withColumnRenamed("base", "valence"))
     found = stream.withWatermark(time, late).select(time, F.explode(F.transform(T.words(text), F.lower)).alias("term")).join(known, "term")
     return found.groupBy(F.window(time, size)).agg(F.count("*").alias("n_words"), F.avg("valence").alias("valence")).select(F.col("window.start").alias("start"), "n_words", "valence")
 
