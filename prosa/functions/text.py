@@ -52,9 +52,10 @@ def left_clean(token: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(col(token), F.lit("")), r"^[^\p{L}\p{N}_]+", "")
 
 
-def emphasis(token: Column | str, level: int) -> Column:
-    """A suffix of ! and ? stays if it has `level` characters or more; otherwise the token ends with its last word character."""
-    suffix = F.regexp_extract(col(token), r"^[\p{L}\p{N}_'’-]+([?!]+)$", 1)
+def emphasis(token: Column | str, level: int, marks: str = "?!") -> Column:
+    """A suffix of marks stays if it has `level` characters or more; otherwise the token ends with its last word character."""
+    own = "".join(f"\\{x}" if x in r"\]^-[" else x for x in marks)
+    suffix = F.regexp_extract(col(token), rf"^[\p{{L}}\p{{N}}_'’-]+([{own}]+)$", 1)
     return F.when(F.length(suffix) >= level, col(token)).otherwise(F.regexp_extract(col(token), r"^(.*[\p{L}\p{N}_])", 1))
 
 

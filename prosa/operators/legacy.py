@@ -18,6 +18,7 @@ class LegacyOptions:
     keep_contractions: bool = True
     keep_special: bool = False
     emphasis_level: int | None = None
+    emphasis_marks: str = "?!"
     pos_filter: bool = False
     keep_wordform: bool = False
     correct_spelling: bool = False
@@ -46,7 +47,7 @@ def token_array(raw, options: LegacyOptions):
 
     def shaped(t):
         word = T.left_clean(t)
-        word = T.emphasis(word, options.emphasis_level) if options.emphasis_level is not None else F.regexp_extract(word, r"^(.*[\p{L}\p{N}_])", 1)
+        word = T.emphasis(word, options.emphasis_level, options.emphasis_marks) if options.emphasis_level is not None else F.regexp_extract(word, r"^(.*[\p{L}\p{N}_])", 1)
         return F.when(special(t), t).otherwise(word if options.keep_case else F.lower(word))
 
     out = F.filter(F.transform(kept, shaped), lambda t: t != "")

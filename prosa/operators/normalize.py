@@ -15,7 +15,6 @@ from prosa.functions import text as T, words as W
 class NormalizeOptions:
     min_length: int = 2
     min_tokens: int = 2
-    batch_size: int = 200
     stopwords: tuple[str, ...] = tuple(W.STOPWORDS["en"])
     keep_stopwords: bool = False
     keep_case: bool = False
@@ -94,6 +93,21 @@ def cased(token: Column | str, base: Column | str) -> Column:
     return F.when(T.is_upper(token), F.upper(T.col(base))).when(T.is_title(token), F.initcap(T.col(base))).otherwise(T.col(base))
 
 
+def normalized(docs: DataFrame, options: NormalizeOptions = NormalizeOptions(), vocabulary: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, sent_id and tokens by all settings: filters, word classes, lemmas, spelling (words longer than spell_threshold, where a vocabulary is given) and case. Sentences with `min_tokens` tokens or fewer go."""
+    cut = F.regexp_extract_all("raw", F.lit(rf"{T.WORD}|[^\p{{L}}\s]+" if options.special_char else T.WORD), 0)
+    special = lambda t: T.special_only(t) & F.lit(options.special_char)
+    kept = F.filter(cut, lambda t: (special(t) | passes(t, options)) & word_class(t).isin(list(options.classes())))
+
+    def shaped(t: Column) -> Column:
+        base = lemma(t)
+        if vocabulary:
+            base = F.when(F.length(base) > options.spell_threshold, corrected(base, list(vocabulary))).otherwise(base)
+        return F.when(special(t), t).otherwise(cased(t, base) if options.keep_case else base)
+
+    return sentences(docs).select("doc_id", "sent_id", F.transform(kept, shaped).alias("tokens")).where(F.size("tokens") > options.min_tokens)
+
+
 def content_array(sentence: Column | str, options: NormalizeOptions = NormalizeOptions()) -> Column:
     """The content words of a sentence in lower case, as an array."""
     keep = [x for words in W.STOPWORDS.values() for x in words]
@@ -128,16 +142,12 @@ def suggestions(terms: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
     return met.where(F.col("edits") <= most).groupBy("term").agg(F.min(F.struct("edits", "word")).alias("best")).select("term", F.col("best.word").alias("suggestion"), F.col("best.edits").alias("edits"))
 
 
-def corrected(token: Column | str, known: list[str], rounds: int = 6) -> Column:
-    """Doubled letters squeezed, the last pair first, until the word is in a plan-time vocabulary; unchanged if none is."""
+def corrected(token: Column | str, known: list[str]) -> Column:
+    """Doubled letters squeezed, the last pair first, until the word is in a plan-time vocabulary; unchanged if it never is. Each round takes a letter, so a word needs fewer rounds than it has letters."""
     word = F.lower(T.col(token))
-    out, now = word, word
-    found = word.isin(known)
-    for _ in range(rounds):
-        now = T.squeeze_once(now)
-        out = F.when(~found & now.isin(known), now).otherwise(out)
-        found = found | now.isin(known)
-    return out
+    rounds = F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1)))
+    out = F.aggregate(rounds, word, lambda now, _: F.when(now.isin(known), now).otherwise(T.squeeze_once(now)))
+    return F.when(out.isin(known), out).otherwise(word)
 
 
 def query_filter(docs: DataFrame, query: list[str], threshold: float) -> DataFrame:
@@ -146,7 +156,10 @@ def query_filter(docs: DataFrame, query: list[str], threshold: float) -> DataFra
     counted = content_sentences(docs)
     uses = lambda word: F.size(F.filter("tokens", lambda x: x == word))
     dot = sum(uses(w) * query.count(w) for w in wanted) if wanted else F.lit(0)
-    norm = F.sqrt(F.aggregate(F.transform(F.array_distinct("tokens"), lambda t: F.pow(F.size(F.filter("tokens", lambda x: x == t)), F.lit(2.0))), F.lit(0.0), lambda a, x: a + x))
+    # squares of counts over the sorted tokens: the n-th use of a word adds 2n - 1
+    counted_to = lambda a, x: F.when(x == a["last"], a["n"] + 2.0).otherwise(F.lit(1.0))
+    step = lambda a, x: F.struct(x.alias("last"), counted_to(a, x).alias("n"), (a["sum"] + counted_to(a, x)).alias("sum"))
+    norm = F.aggregate(F.array_sort("tokens"), F.struct(F.lit("").alias("last"), F.lit(0.0).alias("n"), F.lit(0.0).alias("sum")), step, lambda a: F.sqrt(a["sum"]))
     own = sum(query.count(w) ** 2 for w in wanted) ** 0.5
     cosine = F.round(F.try_divide(dot, norm * own), 6) if wanted else F.lit(0.0)
     return counted.withColumn("cosine", cosine).where(F.col("cosine") >= threshold)

@@ -17,9 +17,18 @@ def together(sents: DataFrame) -> DataFrame:
     return sents.repartition("doc_id")
 
 
-def term_frequency(sents: DataFrame) -> DataFrame:
-    """doc_id, sent_id, term and tf. sents: doc_id, sent_id, tokens."""
-    return sents.select("doc_id", "sent_id", F.explode("tokens").alias("term")).groupBy("doc_id", "sent_id", "term").agg(F.count("*").alias("tf"))
+def n_grams(tokens: Column | str, n: int) -> Column:
+    """An array of n successive tokens each, joined by spaces; empty for shorter sentences."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    if n == 1:
+        return tokens
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: i + (n - 1) <= F.size(tokens))
+    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+
+
+def term_frequency(sents: DataFrame, n: int = 1) -> DataFrame:
+    """doc_id, sent_id, term and tf of n-grams. sents: doc_id, sent_id, tokens."""
+    return sents.select("doc_id", "sent_id", F.explode(n_grams("tokens", n)).alias("term")).groupBy("doc_id", "sent_id", "term").agg(F.count("*").alias("tf"))
 
 
 def with_weights(tf: DataFrame, sents_per_doc: Column | None = None) -> DataFrame:

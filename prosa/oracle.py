@@ -148,7 +148,7 @@ CONTRACTED = (
 ENTITIES = "replace(replace(replace(regexp_replace(html, '&quot;?', '\"', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160))"
 GERMAN = {"und": "and", "der": "the", "die": "the", "das": "the", "nicht": "not", "ist": "is"}
 
-LEMMAS = f"""{RULED}, u as (select doc_id, token, lower(token) as low, upper(token) = token and lower(token) <> token as up, upper(token[1]) || lower(token[2:]) = token and len(token) > 1 and lower(token) <> token as title from t),
+LEMMAS = f"""{RULED}, u as (select doc_id, sent_id, pos, token, lower(token) as low, upper(token) = token and lower(token) <> token as up, upper(token[1]) || lower(token[2:]) = token and len(token) > 1 and lower(token) <> token as title from t),
       k as (select *, case when regexp_matches(low, '^[0-9]') or low in {listed(W.NUMBER_WORDS)} then 'NUM' when low in {listed(W.STOPWORDS['en'])} then 'DET' when low like '%ly' then 'ADV' when regexp_matches(low, '(ous|ful|ive|able|ible|al|ic|less|ish)$') then 'ADJ'
             when regexp_matches(low, '(ing|ed|ize|ise|ify)$') then 'VERB' when title then 'PROPN' else 'NOUN' end as class,
             case when regexp_matches(low, '[^aeiou]ies$') then regexp_replace(low, 'ies$', 'y') when regexp_matches(low, '(ss|sh|ch|x|z)es$') then regexp_replace(low, 'es$', '') when regexp_matches(low, '[^s]s$') and len(low) > 3 then regexp_replace(low, 's$', '')
@@ -208,6 +208,18 @@ ORACLE_SQL = {
       b as (select doc_id, 0 as batch, 0::bigint as base, coalesce(min(upto) filter (upto > 4500), max(upto)) as upto from s group by 1
         union all select b.doc_id, b.batch + 1, b.upto, coalesce(min(s.upto) filter (s.upto - b.upto > 4500), max(s.upto)) from b join s on s.doc_id = b.doc_id and s.upto > b.upto group by 1, 2, 3)
       select doc_id, batch, (upto - base)::int as n_chars from b""".replace("\\\\", "\\"),
+    "pooled_translation": rf"""with recursive w as (select doc_id, unnest(l) as word, unnest(range(len(l))) as pos from (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as l from documents)),
+      s as materialized (select doc_id, word, pos, sum(len(word) + 1) over (partition by doc_id order by pos)::bigint as upto from w),
+      b as (select doc_id, 0 as batch, 0::bigint as base, coalesce(min(upto) filter (upto > 4500), max(upto)) as upto from s group by 1
+        union all select b.doc_id, b.batch + 1, b.upto, coalesce(min(s.upto) filter (s.upto - b.upto > 4500), max(s.upto)) from b join s on s.doc_id = b.doc_id and s.upto > b.upto group by 1, 2, 3)
+      select s.doc_id, batch, md5(' ' || string_agg(case lower(word) {' '.join(f'when {quoted(k)} then {quoted(v)}' for k, v in GERMAN.items())} else word end, ' ' order by pos)) as digest from s join b on s.doc_id = b.doc_id and s.upto > b.base and s.upto <= b.upto group by 1, 2""",
+    "progress_read": "select c_custkey as user_id, coalesce(round(value, 6), 0) as percentage from customer left join (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as place from events) on user_id = c_custkey and place = 1",
+    "valid_requests": "select event_id, user_id as api_key from events where user_id in (select c_custkey from customer where c_acctbal > 0)",
+    "bigram_term_frequency": f"with {sents()}, {CONTENT}, gram as (select unnest(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1])) as term from c) select term, count(*) as n from gram group by 1 having count(*) > 1",
+    "legacy_normalize_defaults": f"""with {sents(texts(LEGACY_TEXTS))}, k as (select doc_id, sent_id, list_filter(regexp_extract_all(raw, '{WORD}|[^\\p{{L}}\\s]+'), lambda x: regexp_replace(x, '{PUNCT}', '', 'g') <> '' and len(x) >= 2) as l from s)
+      select doc_id, sent_id, array_to_string(list_filter(list_transform(l, lambda x: lower(regexp_extract(regexp_replace(x, '^[^\\p{{L}}\\p{{N}}_]+', ''), '^(.*[\\p{{L}}\\p{{N}}_])', 1))), lambda x: x <> '' and x not in {listed([*W.STOPWORDS["en"], "n't", "'s", "'d", "'t", "'ve", "'ll"])}), ' ') as tokens from k""",
+    "normalize_chain": f"""{LEMMAS}, own as (select doc_id, sent_id, pos, base from k where class in {listed(W.BASE_CLASSES)} and len(token) >= 2 and low not in {listed(W.NUMBER_WORDS)} and low not in {listed(W.STOPWORDS["en"])} and not regexp_matches(token, '{PUNCT_DIGIT}'))
+      select doc_id, sent_id, string_agg(base, ' ' order by pos) as tokens from own group by 1, 2 having count(*) > 2""",
     "conversation_sentiment": sentiment_sql("(select conv_id || '/' || turn as doc_id, text from conversations)", POLARITY + f", dm as ({MEANS}) select c.conv_id, c.role, count(*) as n_turns, {ROUNDED(MEAN('compound', 6), 4)} as compound from conversations c join dm on dm.doc_id = c.conv_id || '/' || c.turn group by 1, 2"),
     "term_frequency": f"with {sents()}, {CONTENT} select * from tf",
     "collection_idf": f"with {sents()}, {WEIGHTED} select doc_id, term, round(idf, 6) as idf from g",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from prosa.functions import text as T, words as W
 from prosa.operators import language, legacy, normalize, progress, ranking, sentiment, similarity, topics
 from prosa.plans import analysis, legacy_summary as legacy_summary_plan
-from prosa.sources.documents import as_json, dashboard_html, table
+from prosa.sources.documents import as_json, table, valid_requests as requests_with_key
 
 #: Texts that exercise the rules; the driver's documents hold none of their words. Ids are negative.
 RULE_TEXTS = (
@@ -378,9 +378,7 @@ def topic_distance(spark, folder):
 
 
 def topic_dashboard(spark, folder):
-    model = fitted(spark, folder)
-    payload = topics.relevance(spark, model).groupBy().agg(F.sort_array(F.collect_list(F.struct("topic", "term", "relevance"))).alias("tinfo"))  # topics x terms shown, bounded by parameters
-    return dashboard_html(payload)
+    return analysis.dashboard(docs(spark, folder))
 
 
 def language_vote(spark, folder):
@@ -416,6 +414,42 @@ def progress_reset(spark, folder):
     return progress.reset(state, events.where("event_type = 'error'").select("user_id"), "user_id").select("user_id", "at", F.round("percentage", 6).alias("percentage"))
 
 
+def progress_read(spark, folder):
+    """The percentage of every customer as a caller."""
+    state = progress.latest(table(spark, folder, "events"), "user_id", "ts", "value", "event_id")
+    callers = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
+    return progress.read(state, callers, "user_id").select("user_id", F.round("percentage", 6).alias("percentage"))
+
+
+def valid_requests(spark, folder):
+    """Requests (events) whose key belongs to a customer in credit."""
+    requests = table(spark, folder, "events").select("event_id", F.col("user_id").alias("api_key"))
+    keys = table(spark, folder, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("api_key"))
+    return requests_with_key(requests, keys).select("event_id", "api_key")
+
+
+def bigram_term_frequency(spark, folder):
+    return similarity.term_frequency(content(spark, folder), 2).groupBy("term").agg(F.sum("tf").alias("n")).where("n > 1")
+
+
+def legacy_normalize_defaults(spark, folder):
+    return legacy.normalized(legacy_docs(spark, folder)).select("doc_id", "sent_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+def normalize_chain(spark, folder):
+    return normalize.normalized(ruled(spark, folder)).select("doc_id", "sent_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+def pooled_translation(spark, folder):
+    words = {"und": "and", "der": "the", "die": "the", "das": "the", "nicht": "not", "ist": "is"}
+
+    def translate(texts: list[str]) -> list[str]:
+        return [" ".join(words.get(w.lower(), w) for w in text.split(" ")) for text in texts]
+
+    batches = language.char_batches(docs(spark, folder))
+    return language.translate_batches(batches, translate).select("doc_id", "batch", F.md5("text").alias("digest"))
+
+
 def progress_schedule(spark, folder):
     return progress.schedule(spark, 7)
 
@@ -446,6 +480,6 @@ QUERIES = {
         tfidf_weights, sentence_norms, cosine_pairs, cosine_threshold_edges, legacy_cosine_2dp, row_stochastic, degree_centrality, lexrank_scores, lexrank_summary, topk_summary, topk_summary_reversed, legacy_lexrank, legacy_summary,
         divrank_scores, legacy_divrank, grasshopper_scores, legacy_grasshopper, mmr_rerank, query_similarity_filter, embedding_query_topk, bigram_scores, phrase_merge, bow_counts, lda_topics, topic_terms, topic_relevance,
         topic_token_table, topic_distance, topic_dashboard, language_vote, language_accuracy, language_filter, conditional_translation, char_batches, progress_latest, progress_reset, progress_schedule, analysis_report,
-        analysis_json, run_metrics, language_options,
+        analysis_json, run_metrics, language_options, progress_read, valid_requests, bigram_term_frequency, legacy_normalize_defaults, normalize_chain, pooled_translation,
     )
 }

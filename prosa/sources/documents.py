@@ -36,7 +36,23 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+#: Draws each list of the payload as a table.
+DRAWING = (
+    "var place = document.getElementById('dashboard');"
+    "Object.keys(dashboard).forEach(function (name) {"
+    "var rows = [].concat(dashboard[name]), table = document.createElement('table');"
+    "table.createCaption().textContent = name;"
+    "rows.forEach(function (row) { var line = table.insertRow(); Object.values(Object(row) === row ? row : [row]).forEach(function (x) { line.insertCell().textContent = x; }); });"
+    "place.appendChild(table); });"
+)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_json() wrote."""
+    return spark.read.schema(schema).json(path)
+
+
 def dashboard_html(payload: DataFrame, styled: bool = True) -> DataFrame:
-    """HTML with the payload column as JSON data, one row per payload."""
+    """A page that lists its payload, one row per payload: the columns as JSON data, where no text can end the script, and a few lines that draw them."""
     head = '<link rel="stylesheet" type="text/css" href="dashboard.css">' if styled else ""
-    return payload.select(F.concat(F.lit(f'{head}<div id="dashboard"></div><script>var dashboard = '), F.to_json(F.struct("*")), F.lit(";</script>")).alias("html"))
+    return payload.select(F.concat(F.lit(f'{head}<div id="dashboard"></div><script>var dashboard = '), F.replace(F.to_json(F.struct("*")), F.lit("</"), F.lit("<\\/")), F.lit(f";{DRAWING}</script>")).alias("html"))

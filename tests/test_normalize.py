@@ -106,3 +106,16 @@ def test_report(spark):
     got = {r.doc_id: r for r in analysis.report(docs, analysis.AnalysisOptions(summary_length=1)).collect()}
     assert set(got) == {1, 2, 3} and got[1].label and got[1].summary and got[3].compound is None
     assert analysis.run_metrics(docs).first().documents == 3
+
+
+def test_corrections_need_no_bound(spark):
+    df = spark.createDataFrame([("goooooooooooood",), ("xxyyzz",), ("Good",), ("",), (None,)], "w string")
+    assert [r[0] for r in df.select(normalize.corrected("w", ["good"])).collect()] == ["good", "xxyyzz", "good", "", None]
+
+
+def test_settings_of_the_normaliser(spark):
+    docs = spark.createDataFrame([(1, "The Dogs quickly watched 3 beautifull gardens, wow!")], "doc_id long, text string")
+    tokens = lambda **o: normalize.normalized(docs, normalize.NormalizeOptions(**o), ("beautiful",)).first().tokens
+    assert tokens() == ["dog", "quickly", "watch", "beautiful", "garden", "wow"]
+    assert tokens(keep_case=True)[0] == "Dog" and "," in tokens(special_char=True) and tokens(keep_stopwords=True)[0] == "the"
+    assert tokens(spell_threshold=20)[3] == "beautifull"
