@@ -7,8 +7,8 @@ space before it, so that pieces with a leading space begin words and others cont
 
 Each distinct word of a task is matched once; the counts are kept in a bounded cache of the worker.
 
-Defined cases: a null or wordless text has no tokens; a word that the vocabulary can't spell is one unknown token; repeated
-rows each get a row; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or wordless text has no tokens; a word that the vocabulary can't spell is one unknown token; a text of any
+length is counted whole, in linear time; there are no ties, the longest match is one; repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

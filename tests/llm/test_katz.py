@@ -100,3 +100,13 @@ def test_no_training_and_empty_tables(spark):
     row = katz.score_documents(docs, none).first()
     assert (row.held_out, row.n_tokens, row.train_tokens, row.base_score, row.score) == (True, 3, 0, 0.0, 0.0)
     assert katz.score_documents(docs.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    """A text of several blocks' size is one block and scored whole."""
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randint(0, 300)}" for _ in range(30_000))
+    rows = [(0, long), (1, "w1 w2 w3"), (4, "w5 " * 50)]
+    brute = Brute([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 2)
+    got = {r.doc_id: r for r in katz.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), katz.KatzOptions(block_tokens=1000, bucket_tokens=5000)).collect()}
+    assert got[0].n_tokens == 30_001 and all(got[i].score == pytest.approx(brute.score(t), rel=1e-9) for i, t in rows)
