@@ -2,6 +2,11 @@
 
 Each stage gets what its predecessor kept, written as Parquet into the shared folder and read again; all but the last return
 the columns of documents.
+
+Defined cases: a null text counts as empty, fails the rules and goes; texts of any length are read whole; rows that share a doc_id but not the text are
+documents of their own, rows equal in both are one after the third stage; of near copies the least doc_id stays (null ones last); without labels of
+both kinds the first two stages reject by the base rule only; columns beside doc_id and text are carried along and read by no stage; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
