@@ -73,12 +73,23 @@ def pool_adjacent(at: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple
     return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
-def fit(stats: DataFrame, labels: DataFrame, options: ClassifierOptions = ClassifierOptions()) -> ClassifierModel:
-    """stats: doc_id and FEATURES."""
+def training_labels(labels: DataFrame, options: ClassifierOptions = ClassifierOptions()) -> DataFrame:
+    """doc_id, label and calibrate of the labelled ids that a fit reads: about `max_labelled` at most, none of the held-out fold."""
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
     marked = marked.where(crc32_of_id() % options.folds != options.held_out)
     share = min(1.0, options.max_labelled / max(1, marked.count()))
-    marked = marked.where(unit_hash("doc_id") < share).select("doc_id", "label", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibrate")), F.lit(1000)) < int(1000 * options.calibration_share)).alias("calibrate"))
+    return marked.where(unit_hash("doc_id") < share).select("doc_id", "label", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibrate")), F.lit(1000)) < int(1000 * options.calibration_share)).alias("calibrate"))
+
+
+def labelled_stats(docs: DataFrame, labels: DataFrame, options: ClassifierOptions = ClassifierOptions()) -> DataFrame:
+    """The statistics of the documents that a fit reads; no other text is counted. The ids broadcast are bounded by `max_labelled` (8 bytes each)."""
+    known = F.broadcast(training_labels(labels, options).select("doc_id"))
+    return document_stats(docs.join(known, "doc_id", "left_semi")).select("doc_id", *FEATURES)
+
+
+def fit(stats: DataFrame, labels: DataFrame, options: ClassifierOptions = ClassifierOptions()) -> ClassifierModel:
+    """stats: doc_id and FEATURES."""
+    marked = training_labels(labels, options)
     known = stage(stats.select("doc_id", *FEATURES).join(marked, "doc_id"), "labelled-stats").coalesce(options.partials)
 
     moments = known.where("not calibrate").agg(F.count("*"), *(f(c) for c in FEATURES for f in (F.avg, F.stddev_pop))).first()
@@ -134,7 +145,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, options: ClassifierOptio
 
 def filter_documents(docs: DataFrame, labels: DataFrame, options: ClassifierOptions = ClassifierOptions(), least: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
     """The documents that score at least `least`, with all their columns. labelled: the documents to fit on where docs, being filtered, may lack the bad ones."""
-    model = fit(stage(document_stats(docs if labelled is None else labelled).select("doc_id", *FEATURES), "quality-stats"), labels, options)
+    model = fit(labelled_stats(docs if labelled is None else labelled, labels, options), labels, options)
     at = docs.columns.index("text")
 
     def keep(batches):

@@ -168,3 +168,12 @@ def test_scores_equal_a_plain_ridge_solution_and_isotonic_levels(spark):
     scores = model.score(x)
     order = np.argsort(model.raw(x))
     assert (np.diff(scores[order]) >= 0).all() and scores.min() >= 0 and scores.max() <= 1
+
+
+def test_a_fit_on_labelled_documents_alone_equals_one_on_all(spark):
+    docs, labels, _ = corpus(spark, 150)
+    docs = docs.unionByName(docs.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars").limit(3))
+    few = qc.labelled_stats(docs, labels)
+    assert 0 < few.count() == qc.training_labels(labels).count() < docs.count()
+    own, want = qc.fit(few, labels), qc.fit(qc.document_stats(docs), labels)
+    assert own.beta == pytest.approx(want.beta, abs=1e-9) and own.knots == pytest.approx(want.knots) and own.values == pytest.approx(want.values)
