@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from prosa.functions import text as T, words as W
+from prosa.functions.show import sentences_text
 
 
 @dataclass(frozen=True)
@@ -119,6 +120,12 @@ def content_sentences(docs: DataFrame, options: NormalizeOptions = NormalizeOpti
     return sentences(docs).withColumn("tokens", content_array("raw", options)).where(F.size("tokens") > options.min_tokens)
 
 
+def shown(docs: DataFrame, options: NormalizeOptions = NormalizeOptions()) -> DataFrame:
+    """doc_id and shown: the content sentences and their tokens as text for people, from the document's own array. A null text has no sentences."""
+    all_tokens = F.transform(F.coalesce(T.sentences("text"), F.array().cast("array<string>")), lambda x: content_array(x, options))
+    return docs.select("doc_id", sentences_text(F.filter(all_tokens, lambda x: F.size(x) > options.min_tokens)).alias("shown"))
+
+
 def vocabulary(docs: DataFrame, least_documents: int) -> DataFrame:
     """Terms (lower case) found in at least so many documents, with that number."""
     per_doc = docs.select("doc_id", F.explode(F.array_distinct(F.transform(T.words("text"), F.lower))).alias("term"))

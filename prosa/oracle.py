@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from prosa.functions import words as W
+from prosa.plans.service import GREETING
 from prosa.queries import LEGACY_TEXTS, QUERY, RULE_TEXTS
 
 
@@ -250,5 +251,10 @@ ORACLE_SQL = {
     "progress_reset": "select user_id, case when user_id in (select user_id from events where event_type = 'error') then '' else strftime(ts, '%Y-%m-%d %H:%M') end as at, case when user_id in (select user_id from events where event_type = 'error') then 0 else round(value, 6) end as percentage from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as place from events) where place = 1",
     "progress_schedule": "select (i)::int as step, round(30.0::double / (7 - i), 2) as percentage from range(7) r(i) union all select 7, 37.5 union all select 8, 45.0 union all select (9 + i)::int, round(45 + 50.0::double / (10 - i), 2) from range(10) r(i) union all select 19, 100.0",
     "run_metrics": f"select count(*) as documents, sum(len({cut()}))::bigint as sentences, sum(len(regexp_extract_all(text, '{WORD}')))::bigint as words from documents",
+    "service_greeting": f"select {quoted(GREETING)} as answer",
+    "init_options": """select c_custkey as api_key, '{"Language":{"ENGLISH":"en","FRENCH":"fr","GERMAN":"de","SPANISH":"es"},"KEY":"' || c_custkey || '"}' as options from customer""",
+    "validate_answers": "select event_id, ok as valid, case when ok then '<h1>Valid API Key</h1>' else '<h1>Invalid API Key</h1>' end as answer from (select event_id, coalesce(user_id in (select c_custkey from customer where c_acctbal > 0), false) as ok from events)",
+    "shown_documents": f"""with {sents()}, {CONTENT}, l as (select doc_id, string_agg(chr(9) || '[' || array_to_string(tokens, ', ') || ']' || chr(10), '' order by sent_id) as lines, string_agg(array_to_string(tokens, ', '), ', ' order by sent_id) as every from c group by 1)
+      select doc_id, md5('Normalized Sentences' || chr(10) || coalesce(lines, '') || 'Tokens' || chr(10) || chr(9) || '[' || coalesce(every, '') || ']') as digest from documents left join l using (doc_id)""",
     "language_options": "select * from (values ('ENGLISH', 'en'), ('FRENCH', 'fr'), ('GERMAN', 'de'), ('SPANISH', 'es')) as q(name, code)",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from prosa.functions import text as T, words as W
 from prosa.operators import language, legacy, normalize, progress, ranking, sentiment, similarity, topics
-from prosa.plans import analysis, legacy_summary as legacy_summary_plan
+from prosa.plans import analysis, legacy_summary as legacy_summary_plan, service
 from prosa.sources.documents import as_json, table, valid_requests as requests_with_key
 
 #: Texts that exercise the rules; the driver's documents hold none of their words. Ids are negative.
@@ -468,7 +468,27 @@ def run_metrics(spark, folder):
 
 def language_options(spark, folder):
     """The constant that the service publishes: names and codes of the languages."""
-    return spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for pair in (("ENGLISH", "en"), ("FRENCH", "fr"), ("GERMAN", "de"), ("SPANISH", "es")) for x in pair])).alias("name", "code"))
+    return spark.range(1).select(F.explode(service.languages()).alias("name", "code"))
+
+
+def service_greeting(spark, folder):
+    return service.greeting(spark)
+
+
+def init_options(spark, folder):
+    """What every customer as a caller is told at first."""
+    return service.initial(table(spark, folder, "customer").select(F.col("c_custkey").alias("api_key")))
+
+
+def validate_answers(spark, folder):
+    """Every request (event) with the answer on its key, known if its customer is in credit."""
+    requests = table(spark, folder, "events").select("event_id", F.col("user_id").alias("api_key"))
+    keys = table(spark, folder, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("api_key"))
+    return service.validated(requests, keys).select("event_id", "valid", "answer")
+
+
+def shown_documents(spark, folder):
+    return normalize.shown(docs(spark, folder)).select("doc_id", F.md5("shown").alias("digest"))
 
 
 QUERIES = {
@@ -481,5 +501,6 @@ QUERIES = {
         divrank_scores, legacy_divrank, grasshopper_scores, legacy_grasshopper, mmr_rerank, query_similarity_filter, embedding_query_topk, bigram_scores, phrase_merge, bow_counts, lda_topics, topic_terms, topic_relevance,
         topic_token_table, topic_distance, topic_dashboard, language_vote, language_accuracy, language_filter, conditional_translation, char_batches, progress_latest, progress_reset, progress_schedule, analysis_report,
         analysis_json, run_metrics, language_options, progress_read, valid_requests, bigram_term_frequency, legacy_normalize_defaults, normalize_chain, pooled_translation,
+        service_greeting, init_options, validate_answers, shown_documents,
     )
 }
