@@ -58,8 +58,8 @@ def pairs(weights: DataFrame, idf: str = "collection_idf") -> DataFrame:
 
 
 def edges(sims: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """Pairs above the threshold. NaN counts as larger than any number in Spark and is left out by hand."""
-    return sims.where(~F.isnan("sim") & (F.col("sim") > threshold)).select("doc_id", "i", "j")
+    """Pairs above the threshold; equal to it to nine digits is not above, whatever the order of the sums. NaN counts as larger than any number in Spark and is left out by hand."""
+    return sims.where(~F.isnan("sim") & (F.round("sim", 9) > threshold)).select("doc_id", "i", "j")
 
 
 def adjacency(weights: DataFrame, sims: DataFrame, threshold: float = 0.1) -> DataFrame:

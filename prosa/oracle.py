@@ -118,7 +118,7 @@ WEIGHTED = f"""{CONTENT}, n as (select doc_id, count(*) as n from c group by 1),
       w as (select doc_id, sent_id, term, tf * idf as w, tf * cidf as cw from tf join g using (doc_id, term)), norm as (select doc_id, sent_id, sqrt(sum(w * w)) as norm, sqrt(sum(cw * cw)) as cnorm from w group by 1, 2)"""
 PAIRS = f"""{WEIGHTED}, pairs as (select a.doc_id, a.sent_id as i, b.sent_id as j, sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)) as sim from w a join w b on a.doc_id = b.doc_id and a.term = b.term and a.sent_id < b.sent_id
       join norm x on x.doc_id = a.doc_id and x.sent_id = a.sent_id join norm y on y.doc_id = b.doc_id and y.sent_id = b.sent_id where x.norm > 0 and y.norm > 0 group by 1, 2, 3)"""
-ADJACENT = f"""{PAIRS}, e as (select doc_id, i, j from pairs where sim > 0.1), adj as (select * from e union all select doc_id, j, i from e union all select distinct doc_id, sent_id, sent_id from w where w > 0),
+ADJACENT = f"""{PAIRS}, e as (select doc_id, i, j from pairs where round(sim, 9) > 0.1), adj as (select * from e union all select doc_id, j, i from e union all select distinct doc_id, sent_id, sent_id from w where w > 0),
       deg as (select doc_id, i as sent_id, count(*) as degree from adj group by 1, 2), score as (select doc_id, sent_id, raw, tokens, coalesce(degree, 0) as score from c left join deg using (doc_id, sent_id))"""
 PHRASES = f"""{CONTENT}, p as (select doc_id, sent_id, unnest(tokens) as term, unnest(range(len(tokens)))::int as pos from c), q as (select *, lead(term) over ({ORDERED}) as following from p), n1 as (select term, count(*) as n from p group by 1),
       ab as (select term as a, following as b, count(*) as n_ab from q where following is not null group by 1, 2 having count(*) > 5),
@@ -126,7 +126,7 @@ PHRASES = f"""{CONTENT}, p as (select doc_id, sent_id, unnest(tokens) as term, u
 MERGED = f"""{PHRASES}, fl as (select q.*, ph.a is not null as phrase from q left join ph on term = a and following = b),
       rn as (select *, pos - coalesce(max(case when not phrase then pos end) over ({ORDERED}), -1) as since from fl), tk as (select *, phrase and since % 2 = 1 as take from rn), gn as (select *, coalesce(lag(take) over ({ORDERED}), false) as gone from tk),
       mg as (select doc_id, sent_id, pos, case when take then term || '_' || following else term end as term from gn where not gone)"""
-LEXRANK = f"""{PAIRS}, link as materialized (select doc_id, i, j from pairs where sim > 0.1 union all select doc_id, j, i from pairs where sim > 0.1 union all select doc_id, sent_id, sent_id from c),
+LEXRANK = f"""{PAIRS}, link as materialized (select doc_id, i, j from pairs where round(sim, 9) > 0.1 union all select doc_id, j, i from pairs where round(sim, 9) > 0.1 union all select doc_id, sent_id, sent_id from c),
       walk as materialized (select *, count(*) over (partition by doc_id, i) as degree from link),
       it as (select doc_id, sent_id, 0 as step, 1.0::double / count(*) over (partition by doc_id) as x, 1.0::double as moved from c
         union all select doc_id, sent_id, step, y, sqrt(sum((y - x) * (y - x)) over (partition by doc_id)) from
@@ -134,6 +134,46 @@ LEXRANK = f"""{PAIRS}, link as materialized (select doc_id, i, j from pairs wher
       lexrank as (select doc_id, sent_id, x / max(x) over (partition by doc_id) as score from (select *, max(step) over (partition by doc_id) as last from it) where step = last),
       placed as (select c.doc_id, c.sent_id, raw, row_number() over (partition by c.doc_id order by round(score, 9) desc, c.sent_id) as place from c join lexrank using (doc_id, sent_id)),
       summed as (select doc_id, string_agg(raw, ' ' order by sent_id) as summary from placed where place <= 5 group by 1)"""
+CLASSIC_TAIL = PAIRS[len(CONTENT) :].replace("a.w * b.w", "a.cw * b.cw").replace("x.norm", "x.cnorm").replace("y.norm", "y.cnorm")
+CLASSIC = CONTENT + CLASSIC_TAIL
+ENDED = "select doc_id, sent_id, x / max(x) over (partition by doc_id) as score from (select *, max(step) over (partition by doc_id) as last from it) where step = last"
+# edges of the reinforced walks: o is the organic chance (own: of staying), found the visits before a row in the first round, grown what a row's own visits add
+VISITED = lambda pairs, own: f"""{pairs}, link as materialized (select doc_id, i, j from pairs where round(sim, 9) > 0.1 union all select doc_id, j, i from pairs where round(sim, 9) > 0.1 union all select doc_id, sent_id, sent_id from c),
+      organic as (select *, case when i = j then {own}::double else 0.25::double / count(*) over (partition by doc_id, i) end as o, count(*) over (partition by doc_id, j) as degree, row_number() over (partition by doc_id, j order by i) as found from link),
+      edge as materialized (select *, sum(o) over (partition by doc_id, i order by j) as grown, sum(o * found) over (partition by doc_id, i) as base, sum(o * degree) over (partition by doc_id, i) as slope from organic),
+      size as materialized (select doc_id, count(*) as n from c group by 1)"""
+DIVRANK = f"""{VISITED(PAIRS, 0.75)},
+      it as (select doc_id, sent_id, 0 as step, 1.0::double / n as x, 1.0::double as moved from c join size using (doc_id)
+        union all select doc_id, sent_id, step, y, sqrt(sum((y - x) * (y - x)) over (partition by doc_id)) from
+          (select it.doc_id, it.sent_id, it.step + 1 as step, any_value(it.x) as x, 0.9::double * any_value(it.x) * sum(o * (found + it.step * degree + 1) / (base + it.step * slope + grown)) + 0.1::double / any_value(n) as y
+           from it join edge on it.doc_id = edge.doc_id and it.sent_id = edge.i join size on size.doc_id = it.doc_id where moved > 0.001 group by 1, 2, 3)),
+      ranked as ({ENDED})"""
+# a scaled power method on chances by edge plus the same chance of every sentence
+MIXED = lambda edges, anywhere: f"""{edges},
+      it as (select doc_id, sent_id, 0 as step, 1.0::double / n as x, 1.0::double as moved from c join size using (doc_id)
+        union all select doc_id, sent_id, step, y, sqrt(sum((y - x) * (y - x)) over (partition by doc_id)) from
+          (select doc_id, sent_id, step, x, y / max(y) over (partition by doc_id) as y from
+            (select doc_id, sent_id, step, x, along + {anywhere}::double / n * sum(x) over (partition by doc_id) as y from
+              (select it.doc_id, chance.j as sent_id, it.step + 1 as step, sum(it.x * p) as along, max(case when i = j then it.x end) as x, any_value(n) as n
+               from it join chance on it.doc_id = chance.doc_id and it.sent_id = chance.i join size on size.doc_id = it.doc_id where moved > 0.001 group by 1, 2, 3)))),
+      ranked as (select doc_id, sent_id, round(score, 6) as score from ({ENDED}))"""
+OLD_DIVRANK = MIXED(f"{VISITED(CLASSIC, 0.1)}, chance as materialized (select doc_id, i, j, 0.9::double * o * found / (base + grown - o) as p from edge)", 0.1)
+OLD_LEXRANK = MIXED(
+    f"""{CLASSIC}, link as (select doc_id, i, j, round(sim, 2) as v from pairs union all select doc_id, j, i, round(sim, 2) from pairs union all select doc_id, sent_id, sent_id, 1.0::double from c),
+      scaled as (select doc_id, i, j, v / sum(v) over (partition by doc_id, j) as v from link), size as materialized (select doc_id, count(*) as n from c group by 1),
+      chance as materialized (select doc_id, i, j, 0.15::double * v / sum(v) over (partition by doc_id, i) as p from scaled)""",
+    0.85,
+)
+# the query is one more sentence of each document, number -1
+OLD_SUMMARY = f"""{OLD_LEXRANK}, asked as (with c as (select doc_id, sent_id, tokens from own_c union all select distinct doc_id, -1, [{", ".join(map(quoted, QUERY))}] from own_c), {CONTENT[CONTENT.index("tf as") :]}{CLASSIC_TAIL} select * from pairs),
+      r as (select *, row_number() over (partition by doc_id order by score desc, sent_id) as place from ranked),
+      seen as (select a.doc_id, case when a.place > b.place then i else j end as sent_id, max(sim) as most from asked join r a on a.doc_id = asked.doc_id and a.sent_id = i join r b on b.doc_id = asked.doc_id and b.sent_id = j group by 1, 2),
+      val as (select r.doc_id, r.sent_id, 0.7::double * (coalesce(sim, 0) - (1 - 0.7::double) * coalesce(most, 0)) as value from r left join seen on seen.doc_id = r.doc_id and seen.sent_id = r.sent_id left join asked on asked.doc_id = r.doc_id and asked.i = -1 and asked.j = r.sent_id),
+      ends as (select *, min(value) over (partition by doc_id) as low, max(value) over (partition by doc_id) as high from val),
+      final as (select doc_id, sent_id, round(case when high > low then (value - low) / (high - low) else 1 end, 6) as mmr from ends),
+      best as (select own_c.doc_id, own_c.sent_id, raw, row_number() over (partition by own_c.doc_id order by mmr desc, own_c.sent_id) as place from own_c join final using (doc_id, sent_id))
+      select doc_id, string_agg(raw, ' ' order by sent_id) as summary from best where place <= 3 group by 1"""
+OLD_SUMMARY = OLD_SUMMARY.replace(CONTENT, f"{CONTENT}, own_c as (select * from c)", 1)
 RECURSIVE = lambda sql: sql.replace("with ", "with recursive ", 1)
 VOTES = "list_transform(regexp_extract_all(text, '" + WORD + "'), lambda x: lower(x))"
 LANGS = sorted(W.STOPWORDS)
@@ -202,6 +242,10 @@ ORACLE_SQL = {
     "descriptors": sentiment_sql(texts(RULE_TEXTS), DESCRIBED),
     "lexrank_scores": RECURSIVE(f"with {sents()}, {LEXRANK} select doc_id, sent_id, round(score, 6) as score from lexrank"),
     "lexrank_summary": RECURSIVE(f"with {sents()}, {LEXRANK} select * from summed"),
+    "divrank_scores": RECURSIVE(f"with {sents()}, {DIVRANK} select doc_id, sent_id, round(score, 6) as score from ranked"),
+    "legacy_lexrank": RECURSIVE(f"with {sents()}, {OLD_LEXRANK} select * from ranked"),
+    "legacy_divrank": RECURSIVE(f"with {sents()}, {OLD_DIVRANK} select * from ranked"),
+    "legacy_summary": RECURSIVE(f"with {sents()}, {OLD_SUMMARY}"),
     "analysis_report": f"""select doc_id, len({cut()})::int as n_sentences, detected, compound, positive, negative, neutral, summary, case when compound is not null then {LABEL} end as label
       from (with {VOTED} select doc_id, text, detected from det) left join ({sentiment_sql("documents", POLARITY + " " + MEANS)}) using (doc_id) left join ({RECURSIVE(f"with {sents()}, {LEXRANK} select * from summed")}) using (doc_id)""",
     "char_batches": r"""with recursive w as (select doc_id, unnest(l) as word, unnest(range(len(l))) as pos from (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as l from documents)),
@@ -228,8 +272,8 @@ ORACLE_SQL = {
     "tfidf_weights": f"with {sents()}, {WEIGHTED} select doc_id, sent_id, term, round(w, 6) as weight from w",
     "sentence_norms": f"with {sents()}, {WEIGHTED} select doc_id, sent_id, round(norm, 6) as norm from norm",
     "cosine_pairs": f"with {sents()}, {PAIRS} select doc_id, i, j, round(sim, 6) as sim from pairs",
-    "cosine_threshold_edges": f"with {sents()}, {PAIRS} select doc_id, i, j from pairs where sim > 0.1",
-    "legacy_cosine_2dp": f"with {sents()}, {PAIRS.replace('a.w * b.w', 'a.cw * b.cw').replace('x.norm', 'x.cnorm').replace('y.norm', 'y.cnorm')} select doc_id, count(*) as n_pairs, round(sum(sim), 4) as total, sum(case when round(sim, 2) > 0.1 then 1 else 0 end)::bigint as n_above from pairs group by 1",
+    "cosine_threshold_edges": f"with {sents()}, {PAIRS} select doc_id, i, j from pairs where round(sim, 9) > 0.1",
+    "legacy_cosine_2dp": f"with {sents()}, {CLASSIC} select doc_id, count(*) as n_pairs, round(sum(sim), 4) as total, sum(case when round(sim, 2) > 0.1 then 1 else 0 end)::bigint as n_above from pairs group by 1",
     "row_stochastic": f"with {sents()}, {ADJACENT} select doc_id, i, j, round(1.0::double / count(*) over (partition by doc_id, i), 6) as p from adj",
     "degree_centrality": f"with {sents()}, {ADJACENT} select * from deg",
     "topk_summary": f"with {sents()}, {ADJACENT}, r as (select *, row_number() over (partition by doc_id order by score desc, sent_id) as place from score) select doc_id, md5(string_agg(raw, ' ' order by sent_id)) as digest from r where place <= 3 group by 1",
