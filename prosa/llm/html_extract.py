@@ -21,8 +21,8 @@ layouts and notices, and those of which no pivot is an example, stay content. He
 
 Pages are compared where they are read; what leaves a task are sums by pivot and two bits for each node and page. Pivots are joined by
 host: they are broadcast if their measured size allows it, else pages are shuffled and skewed hosts split. A page is parsed whole; inline markup
-doesn't nest, so unclosed inline tags do no harm. Lists of siblings whose match would need over MOST_CELLS steps are matched within a band
-around their diagonal, in linear time and memory.
+doesn't nest, so unclosed inline tags do no harm. Lists of siblings of any length get the same largest match; long ones (over MOST_CELLS steps) are
+matched by rows of numbers, subtrees of equal structure are weighed once, and memory grows with the length to the power of 1.5.
 
 Defined cases: null or empty html has the text ""; a page of any length and depth is read whole; a null url belongs to the host ""; repeated rows
 each get a row; of equally heavy matches the one of the later siblings counts; hosts with a single page have no template beyond the
@@ -32,6 +32,7 @@ names; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from dataclasses import dataclass
 
@@ -66,7 +67,7 @@ CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Plain elements nested deeper get no node of their own: their children join the element around them. They still open and close.
 MOST_DEPTH = 200
-#: Steps of a full match of two lists of siblings; beyond, a band of so many siblings to either side.
+#: Steps of a match of two lists of siblings that are taken one by one; beyond, by rows of numbers, with the same result, and with at least so many rows between two that are kept.
 MOST_CELLS, BAND = 40_000, 16
 #: Counters that a task holds before it sends them on.
 MOST_COUNTERS = 2_000_000
@@ -291,7 +292,7 @@ def matches(a: Node, b: Node) -> list[tuple[Node, Node]]:
         left, right = xs[i:end_x], ys[i:end_y]
         if not left or not right:
             return total
-        return total + (banded if len(left) * len(right) > MOST_CELLS else whole)(left, right, take)
+        return total + (by_rows if len(left) * len(right) > MOST_CELLS else whole)(left, right, take)
 
     def whole(left: list[Node], right: list[Node], take) -> int:
         best = [[0] * (len(right) + 1)]
@@ -313,35 +314,50 @@ def matches(a: Node, b: Node) -> list[tuple[Node, Node]]:
                     q -= 1
         return best[-1][-1]
 
-    def banded(left: list[Node], right: list[Node], take) -> int:
-        """The best match among pairs near the diagonal. A row holds the best weights of prefixes of right from its first to its last length."""
-        n = len(right)
-        ends = [(max(0, i * n // len(left) - BAND), min(n, i * n // len(left) + BAND)) for i in range(len(left) + 1)]
-        best, own = [[0] * (ends[0][1] + 1)], []
-        at = lambda i, j: best[i][min(j - ends[i][0], len(best[i]) - 1)]  # noqa: E731  beyond its end a row stays level
-        for i, x in enumerate(left, 1):
-            low, high = ends[i]
-            now, row = [at(i - 1, low)], []
-            for j in range(low + 1, high + 1):
-                w = weight(x, right[j - 1])
-                row.append(w)
-                now.append(max(at(i - 1, j), now[-1], at(i - 1, j - 1) + w if w else 0))
-            best.append(now)
-            own.append(row)
+    kinds: dict[tuple, int] = {}
+    kind_of: dict[int, int] = {}
+
+    def kind(x: Node) -> int:
+        """A number for the element and all below it: nodes with the same number have the same weight with any other."""
+        if id(x) not in kind_of:
+            kind_of[id(x)] = kinds.setdefault((x.key, tuple(map(kind, x.children))), len(kinds))
+        return kind_of[id(x)]
+
+    def by_rows(left: list[Node], right: list[Node], take) -> int:
+        """whole() with a row of weights at a time. Of the best weights every `step`-th row is kept; the way back makes those between again."""
+        mine, theirs = [kind(x) for x in left], [kind(y) for y in right]
+        distinct = {n: y for n, y in zip(reversed(theirs), reversed(right))}
+        order = {n: j for j, n in enumerate(distinct)}
+        columns = np.array([order[n] for n in theirs])
+        weights = {n: np.array([weight(x, y) for y in distinct.values()], np.int32) for n, x in dict(zip(mine, left)).items()}
+
+        def after(above: np.ndarray, i: int) -> np.ndarray:
+            return np.append(np.int32(0), np.maximum.accumulate(np.maximum(above[1:], above[:-1] + weights[mine[i]][columns])))
+
+        step = max(BAND, math.isqrt(len(left)))
+        row, kept = np.zeros(len(right) + 1, np.int32), []
+        for i in range(len(left)):
+            if take and i % step == 0:
+                kept.append(row)
+            row = after(row, i)
+        total = int(row[-1])
         if take:
-            i, j = len(left), n
-            while i and j:
-                low, high = ends[i]
-                j = min(j, high)
-                w = own[i - 1][j - low - 1] if j > low else 0
-                if w and at(i, j) == at(i - 1, j - 1) + w:
-                    i, j = i - 1, j - 1
-                    take(left[i], right[j])
-                elif j <= low or at(i, j) == at(i - 1, j):
-                    i -= 1
-                else:
-                    j -= 1
-        return best[-1][-1]
+            q = len(right)
+            for start in range((len(kept) - 1) * step, -1, -step):
+                best = [kept.pop()]
+                for i in range(start, min(start + step, len(left))):
+                    best.append(after(best[-1], i))
+                p = len(best) - 1
+                while p and q:
+                    w = weights[mine[start + p - 1]][columns[q - 1]]
+                    if w and best[p][q] == best[p - 1][q - 1] + w:
+                        p, q = p - 1, q - 1
+                        take(left[start + p], right[q])
+                    elif best[p][q] == best[p - 1][q]:
+                        p -= 1
+                    else:
+                        q -= 1
+        return total
 
     pairs, todo = [], [(a, b)]
     while todo:

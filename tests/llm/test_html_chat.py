@@ -189,3 +189,23 @@ def test_a_very_long_turn(spark):
     df = spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string")
     row = chat.digests(df).first()
     assert (row.n_turns, row.loss_chars, row.loss_sha256) == (1, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
+def test_long_lists_get_the_largest_match_whatever_their_length(monkeypatch):
+    """A block that moved far from its place among many siblings is found, as it is in a short list; so is what stands beyond any band."""
+    rng = random.Random(5)
+    item = lambda: rng.choice(("<p>a</p>", "<p>a<b>x</b><i>y</i></p>", "<li>u</li>", "<div><p>q</p><ul><li>1</li><li>2</li></ul></div>", "<div><p>q</p></div>", "<hr>"))
+    for _ in range(6):
+        common = [item() for _ in range(40)]
+        one, other = ([*(item() for _ in range(rng.randrange(60))), *(x for x in common if rng.random() < 0.9), *(item() for _ in range(rng.randrange(60)))] for _ in range(2))
+        a, b = he.numbered("<body>" + "".join(one) + "</body>"), he.numbered("<body>" + "".join(other) + "</body>")
+        found = {}
+        for cells in (10**9, 0):
+            with monkeypatch.context() as m:
+                m.setattr(he, "MOST_CELLS", cells)
+                m.setattr(he, "BAND", 3)
+                found[cells] = sorted((x.slot, y.slot) for x, y in he.matches(a, b))
+        assert found[0] == found[10**9]
+    shared = "".join(f"<h2><i{k}></i{k}></h2>" for k in range(150))  # 150 siblings in order, 300 places apart
+    a, b = he.numbered("<body>" + "<section><p>x</p></section>" * 300 + shared + "</body>"), he.numbered("<body>" + shared + "<table><tr></tr></table>" * 300 + "</body>")
+    assert sum(x.tag == "h2" for x, _ in he.matches(a, b)) == 150
