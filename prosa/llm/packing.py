@@ -20,9 +20,11 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from prosa.llm.common import stage, worker_cache
@@ -63,42 +65,58 @@ def encode_texts(texts: list[str], path: str, cached_words: int) -> list[bytes]:
     cut by a regular expression at those spaces only.
     """
     tokenizer, cache, heads = tokenizer_of(path), worker_cache(f"chunks {path}"), worker_cache(f"heads {path}")
-    cut = [x.split(" ") for x in texts]
-    wanted: set[str] = set()
-    for parts in cut:
-        wanted.update(parts[1:])
-
-    def ids_of(chunks: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch(chunks, add_special_tokens=False)]
-
-    if len(cache) > cached_words:
-        cache.clear()
-    if len(heads) > cached_words:
-        heads.clear()
-    new = [x for x in wanted if x not in cache]
-    plain = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
+    cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    if not texts:
+        return []
+    begun, chunks = cut.offsets.to_numpy()[:-1].astype(np.int64), cut.flatten().dictionary_encode()  # where each text's chunks begin
+
+    def ids_of(chunks: list[str]) -> list[bytes]:  # "fast": without the characters' places, which nobody asks for
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    for known in (cache, heads):
+        if len(known) > cached_words:
+            known.clear()
+    words = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+    plain = [x for x in words if x not in cache and x and x.strip() == x]
     if plain:
         begins = worker_cache(f"begins {path}")  # which ids begin with a space
         if not begins:
             begins[0] = np.array([(tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(tokenizer.get_vocab_size())])
-        ids = np.array(tokenizer.encode(" " + " ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
         starts = np.flatnonzero(begins[0][ids])
         if len(starts) == len(plain):
             packed, ends = ids.tobytes(), np.append(starts, len(ids)) * 4
             cache.update(zip(plain, map(packed.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist()))))
         else:
             cache.update(zip(plain, ids_of([f" {x}" for x in plain])))
-    first = [x for x in {p[0] for p in cut} if x not in heads]
+    own = [words[i] for i in chunks.indices.to_numpy()[begun].tolist()]  # each text's first chunk, which no space precedes
+    first = [x for x in set(own) if x not in heads]
     heads.update(zip(first, ids_of(first)))
-    out = []
-    for text, parts in zip(texts, cut):
-        try:
-            if parts[0][-1:].isspace():
-                raise KeyError
-            out.append(heads[parts[0]] + b"".join(map(cache.__getitem__, parts[1:])))
-        except KeyError:
-            out.append(b"".join(ids_of(re.split(r"(?<=\S)(?= \S)", text))))
-    return out
+
+    packed = [*map(cache.get, words, repeat(b"")), *map(heads.__getitem__, own)]
+    lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    unknown = (lengths == 0) & (np.arange(len(packed)) < len(words))  # of what is known, only a text's first chunk can be without ids
+    ids, begin = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(lengths) - lengths
+    at = chunks.indices.to_numpy().astype(np.int64)
+    at[begun] = len(words) + np.arange(len(texts))
+    sizes = lengths[at]
+    ends = np.cumsum(sizes)
+    ids = ids[np.repeat(begin[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+    bounds = np.append((ends - sizes)[begun], ends[-1]).tolist()
+    apart = np.logical_or.reduceat(unknown[at], begun) | np.fromiter((x[-1:].isspace() for x in own), bool, len(own))
+    return [b"".join(ids_of(re.split(r"(?<=\S)(?= \S)", text))) if cut_apart else ids[start:end].tobytes() for text, cut_apart, start, end in zip(texts, apart.tolist(), bounds, bounds[1:])]
+
+
+def groups(texts: list[str]):
+    """(first, end) of stretches of texts that are encoded together: up to 2,048 texts, or 1,000,000 characters and one text more."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= 1_000_000 or i + 1 - first == 2048:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def tokenise(docs: DataFrame, options: PackingOptions) -> DataFrame:
@@ -106,10 +124,10 @@ def tokenise(docs: DataFrame, options: PackingOptions) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 512):
+            ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            for at, to in groups(texts):
                 rows = []
-                for doc, packed in zip(ids[at : at + 512], encode_texts([x or "" for x in texts[at : at + 512]], options.tokenizer, options.cached_words)):
+                for doc, packed in zip(ids[at:to], encode_texts(texts[at:to], options.tokenizer, options.cached_words)):
                     view = memoryview(packed + options.end_id.to_bytes(4, "little"))
                     n = len(view) // 4
                     start, length = 0, n % options.capacity or options.capacity

@@ -98,3 +98,15 @@ def test_equal_rows_are_dealt_to_many_buckets(spark):
     assert sorted(r["rank"] for r in packing.ranked(pieces, 64).collect()) == list(range(4000))
     dealt = pieces.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "salt"), F.lit(64))).count().collect()
     assert len(dealt) == 64 and max(r["count"] for r in dealt) < 200
+
+
+def test_texts_encoded_together_have_the_ids_of_each_alone():
+    """Whatever the groups and however often the caches are emptied, ids are those of the tokenizer over the whole text."""
+    path = packing.public_vocabulary("byte_bpe_50k.json")
+    cache = packing.worker_cache(f"chunks {path}")
+    cache.clear()
+    texts = ["the cat and the dog " * 3] + [f"the zq{i}x and wv{i}k  end" for i in range(60)] + ["", " ", "a", " a", "a ", "\u3000b c\u00a0 d", "x\ny  z"]
+    want = [b"".join(i.to_bytes(4, "little") for i in packing.tokenizer_of(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    got = [x for i in range(0, len(texts), 9) for x in packing.encode_texts(texts[i : i + 9], path, 20)]
+    assert got == want and len(cache) <= 20 + 2 * 9 * 5
+    assert packing.encode_texts([], path, 20) == [] and [*packing.groups(["x" * 600_000] * 4 + ["y"] * 5000)] == [(0, 2), (2, 4), (4, 2052), (2052, 4100), (4100, 5004)]
