@@ -16,15 +16,14 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from prosa.llm.common import stage, worker_cache
@@ -57,54 +56,145 @@ def tokenizer_of(path: str):
     return cache[path]
 
 
+#: Kinds of characters: unsure, letter, digit, mark, apostrophe, space, other white space, end of a text.
+UNSURE, LETTER, DIGIT, MARK, APOSTROPHE, SPACE, WHITE, END = range(8)
+#: A longer chunk is not kept, a longer text is encoded in stretches.
+LONGEST_CHUNK, LONGEST_TEXT = 64, 4_000_000
+
+
+def kinds_of_characters() -> np.ndarray:
+    """The kind of each of the first 65,536 code points; unsure where versions of Unicode may differ."""
+
+    def kind(x: str) -> int:
+        now, then = unicodedata.category(x), unicodedata.ucd_3_2_0.category(x)
+        return next((k for k, names in ((LETTER, "L"), (DIGIT, "N"), (MARK, "PS")) if now[0] in names and then[0] in names), UNSURE)
+
+    out = np.fromiter(map(kind, map(chr, range(1 << 16))), np.uint8, 1 << 16)
+    out[[ord(x) for x in "' \t\n\r"]] = [APOSTROPHE, SPACE, WHITE, WHITE, WHITE]
+    return out
+
+
+def _table(size: int, of: Callable[..., bool]) -> np.ndarray:
+    return np.array([of(*divmod(x, 8)) for x in range(size)])
+
+
+_SURE = frozenset((LETTER, DIGIT, MARK, APOSTROPHE))
+_IS_SURE, _IS_WHITE = np.isin(np.arange(8), list(_SURE)), np.isin(np.arange(8), [SPACE, WHITE])
+_RUN = {LETTER: 0, DIGIT: 1, MARK: 2, APOSTROPHE: 2}
+#: Kinds (8 * left + right) between which a piece always ends: runs of letters, digits or marks, before white space, after white space that is no space.
+#: A letter after an apostrophe may belong to it ('s).
+_BETWEEN = _table(64, lambda a, b: END in (a, b) or a in _SURE and b in (SPACE, WHITE) or a == WHITE and b in _SURE or {a, b} <= _SURE and _RUN[a] != _RUN[b] and (a, b) != (APOSTROPHE, LETTER))
+
+
+#: One run of Latin letters of one or two bytes, maybe after a space: a single piece of the pattern.
+_WORD = re.compile(rb" ?[A-Za-z]*(?:(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])[A-Za-z]*)*")
+
+
+def byte_letters() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary; here a line's end is a space and a vertical tab a line's end."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = np.zeros(256, "<u2")
+    out[plain] = plain
+    others = [x for x in range(256) if x not in set(plain)]
+    out[others] = 256 + np.arange(len(others))
+    out[0x0B], out[0x0A] = out[0x0A], 0x20
+    return out
+
+
+def chunks_of(texts: list[str], kinds: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Texts, each followed by a NUL, cut wherever the byte-level pattern begins a new piece for certain, and the places of those NULs among the chunks."""
+    joined = "\0".join([*texts, ""])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    kind = kinds[np.minimum(np.frombuffer(joined.encode("utf-32-le"), "<u4"), len(kinds) - 1)]
+    kind[ends] = END
+    cut = np.ones(len(kind), bool)
+    cut[1:] = _BETWEEN[kind[:-1] * 8 + kind[1:]]
+    cut[:-1] |= _IS_WHITE[kind[:-1]] & _IS_SURE[kind[1:]]  # the last of some white space stands alone or begins a word
+    packed, begin = joined.encode(), np.flatnonzero(cut)
+    if len(packed) > len(joined):
+        places = np.flatnonzero(np.frombuffer(packed, np.uint8) & 0xC0 != 0x80)
+        offsets = np.append(places[begin], len(packed))
+    else:
+        offsets = np.append(begin, len(packed))
+    found = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(packed)])
+    return found.dictionary_encode(), np.searchsorted(begin, ends)
+
+
+def stretches(text: str) -> list[str]:
+    """A long text cut before spaces between letters, every million characters or later."""
+    out, at = [], 0
+    while found := re.compile("(?<=[A-Za-z])(?= [A-Za-z])").search(text, at + 1_000_000):
+        out.append(text[at : found.start()])
+        at = found.start()
+    return [*out, text[at:]]
+
+
 def encode_texts(texts: list[str], path: str, cached_words: int) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers, the same as of the tokenizer over the whole text.
 
-    The byte-level pattern always begins a new piece at a single space between two other characters, so that chunks
-    between such spaces can be encoded apart, and each distinct chunk once. Texts in which white space meets white space are
-    cut by a regular expression at those spaces only.
+    Texts are cut where the byte-level pattern begins a new piece whatever stands around, so that chunks can be encoded apart, and each
+    distinct chunk once. Texts that hold a token which the tokenizer takes out beforehand are encoded whole.
     """
-    tokenizer, cache, heads = tokenizer_of(path), worker_cache(f"chunks {path}"), worker_cache(f"heads {path}")
-    cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    tokenizer, cache, known = tokenizer_of(path), worker_cache(f"chunks {path}"), worker_cache(f"known {path}")
     if not texts:
         return []
-    begun, chunks = cut.offsets.to_numpy()[:-1].astype(np.int64), cut.flatten().dictionary_encode()  # where each text's chunks begin
+    if not known:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        known["kinds"] = kinds_of_characters()
+        known["begins"] = np.array([(tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(tokenizer.get_vocab_size())])  # which ids begin with a space
+        known["words"], known["letters"] = Tokenizer(tokenizer.model), byte_letters()  # the same model; words come with their bytes' letters and need no pattern
+        known["words"].pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        known["line"], known["apart"] = tokenizer.token_to_id("\u010a"), [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    if any(len(x) > LONGEST_TEXT for x in texts):
+        whole = any(x in text for x in known["apart"] for text in texts)
+        parts = [[x] if whole or len(x) <= LONGEST_TEXT else stretches(x) for x in texts]
+        if any(len(x) > 1 for x in parts):
+            return [b"".join(y for part in x for y in encode_texts([part], path, cached_words)) for x in parts]
 
     def ids_of(chunks: list[str]) -> list[bytes]:  # "fast": without the characters' places, which nobody asks for
         return [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    for known in (cache, heads):
-        if len(known) > cached_words:
-            known.clear()
+    def ids_of_words(chunks: list[bytes], spaced: bool) -> list[bytes]:
+        """The ids of words that are a single piece each: told apart in the ids of all by the space that they begin with, or by a line's end between them."""
+        if not chunks:
+            return []
+        letters = known["letters"][np.frombuffer((b"\n" if spaced else b"\n\x0b\n").join(chunks), np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(known["words"].encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype="<u4")
+        begins = np.flatnonzero(known["begins"][ids]) if spaced else np.append(0, np.flatnonzero(ids == known["line"]) + 1)
+        if len(begins) != len(chunks):
+            return ids_of([x.decode() for x in chunks])
+        packed, begins = ids.tobytes(), 4 * begins
+        return list(map(packed.__getitem__, map(slice, begins.tolist(), [*(begins[1:] - (0 if spaced else 4)).tolist(), len(packed)])))
+
+    if len(cache) > cached_words:
+        cache.clear()
+    chunks, ends = chunks_of(texts, known["kinds"])
     words = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
-    plain = [x for x in words if x not in cache and x and x.strip() == x]
-    if plain:
-        begins = worker_cache(f"begins {path}")  # which ids begin with a space
-        if not begins:
-            begins[0] = np.array([(tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(tokenizer.get_vocab_size())])
-        ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-        starts = np.flatnonzero(begins[0][ids])
-        if len(starts) == len(plain):
-            packed, ends = ids.tobytes(), np.append(starts, len(ids)) * 4
-            cache.update(zip(plain, map(packed.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist()))))
-        else:
-            cache.update(zip(plain, ids_of([f" {x}" for x in plain])))
-    own = [words[i] for i in chunks.indices.to_numpy()[begun].tolist()]  # each text's first chunk, which no space precedes
-    first = [x for x in set(own) if x not in heads]
-    heads.update(zip(first, ids_of(first)))
-
-    packed = [*map(cache.get, words, repeat(b"")), *map(heads.__getitem__, own)]
+    packed = list(map(cache.get, words))
+    new = [i for i, x in enumerate(packed) if x is None]
+    word = [words[i] for i in new]
+    kind = [(1 if x[0] == 32 else 2) if len(x) > 1 and _WORD.fullmatch(x) else 0 for x in word]
+    for k, encode in enumerate((lambda x: ids_of([y.decode() for y in x]), lambda x: ids_of_words(x, True), lambda x: ids_of_words(x, False))):
+        own = [j for j, x in enumerate(kind) if x == k]
+        for j, ids in zip(own, encode([word[j] for j in own])):
+            packed[new[j]] = ids
+            if len(word[j]) <= LONGEST_CHUNK:
+                cache[word[j]] = ids
+
     lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-    unknown = (lengths == 0) & (np.arange(len(packed)) < len(words))  # of what is known, only a text's first chunk can be without ids
     ids, begin = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(lengths) - lengths
-    at = chunks.indices.to_numpy().astype(np.int64)
-    at[begun] = len(words) + np.arange(len(texts))
+    at = chunks.indices.to_numpy()
     sizes = lengths[at]
-    ends = np.cumsum(sizes)
-    ids = ids[np.repeat(begin[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
-    bounds = np.append((ends - sizes)[begun], ends[-1]).tolist()
-    apart = np.logical_or.reduceat(unknown[at], begun) | np.fromiter((x[-1:].isspace() for x in own), bool, len(own))
-    return [b"".join(ids_of(re.split(r"(?<=\S)(?= \S)", text))) if cut_apart else ids[start:end].tobytes() for text, cut_apart, start, end in zip(texts, apart.tolist(), bounds, bounds[1:])]
+    sizes[ends] = 0
+    after = np.cumsum(sizes)
+    ids = ids[np.repeat(begin[at] - (after - sizes), sizes) + np.arange(after[-1])].tobytes()
+    bounds = (4 * after[ends]).tolist()
+    out = [ids[a:b] for a, b in zip([0, *bounds], bounds)]
+    for token in known["apart"]:
+        for i in [i for i, text in enumerate(texts) if token in text]:
+            out[i] = ids_of([texts[i]])[0]
+    return out
 
 
 def groups(texts: list[str]):

@@ -110,3 +110,28 @@ def test_texts_encoded_together_have_the_ids_of_each_alone():
     got = [x for i in range(0, len(texts), 9) for x in packing.encode_texts(texts[i : i + 9], path, 20)]
     assert got == want and len(cache) <= 20 + 2 * 9 * 5
     assert packing.encode_texts([], path, 20) == [] and [*packing.groups(["x" * 600_000] * 4 + ["y"] * 5000)] == [(0, 2), (2, 4), (4, 2052), (2052, 4100), (4100, 5004)]
+
+
+def test_chunks_are_words_without_the_marks_and_lines_around_them(vocabulary):
+    """Only what is new is encoded, so a word must be the same chunk whatever follows it."""
+    cache = packing.worker_cache(f"chunks {vocabulary}")
+    cache.clear()
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé") for _ in range(6)) for _ in range(30)]
+    texts = ["".join(rng.choice(words) + rng.choice((" ", ". ", ",\n", " (", "!\n\n", ") ")) for _ in range(40)) for _ in range(100)]
+    tokenizer = Tokenizer.from_file(vocabulary)
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.encode_texts(texts, vocabulary, 800_000) == want and len(cache) < 100
+
+
+def test_cuts_hold_for_any_characters(vocabulary, monkeypatch):
+    rng = random.Random(6)
+    some = ["a", "Q", "é", "ß", "1", "²", "Ⅷ", "٣", ".", "'", "'s", "'ll", "€", "\u0301", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x85", "\u00a0", "\u3000", "\u200b", "\ufeff", "日", "😀", "\x00", "ª", "<|endoftext|>", "endoftext", "|>", "_"]
+    texts = ["".join(rng.choices(rng.sample(some, rng.randint(2, len(some))), k=rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["ab cd. " * 350_000 + "\u3000 x" + "y" * 100]
+    tokenizer = Tokenizer.from_file(vocabulary)
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(packing, "LONGEST_TEXT", 2_000_000)
+    assert len(packing.stretches(texts[-1])) == 3 and "".join(packing.stretches(texts[-1])) == texts[-1]
+    assert packing.encode_texts(texts[:1500], vocabulary, 800_000) + packing.encode_texts(texts[1500:], vocabulary, 800_000) == want
+    assert max(map(len, packing.worker_cache(f"chunks {vocabulary}"))) <= 4 * packing.LONGEST_CHUNK
